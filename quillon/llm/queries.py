@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, neardup, quality, secrets, sentencepiece, tokencount
+from . import ann, decontaminate, html, language, neardup, quality, secrets, sentencepiece, tokencount, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,20 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(_read(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
 
 
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "html")
+    return html.extract(pages, html.train(pages), drop_html=True)
+
+
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.build(docs, _read(spark, sf_dir, "labels")), drop_text=True)
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan,
     "op2_sentencepiece": sentencepiece_ids,
@@ -50,6 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_mixture": language_mixture,
     "op5_near_duplicates": near_duplicates,
     "op6_decontamination": benchmark_matches,
+    "op7_html_extraction": main_text,
+    "op8_toxicity": toxic_documents,
+    "op9_nearest_neighbours": nearest_vectors,
     "op10_token_counts": token_counts,
 }
 
