@@ -37,13 +37,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again; it goes when the program ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for tables that go when the program ends."""
+    path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove)
     _written.append((spark, path))
-    return spark.read.parquet(path)
+    return path
 
 
 def _remove() -> None:

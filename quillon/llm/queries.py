@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, decontaminate, html, language, neardup, quality, secrets, sentencepiece, tokencount, toxicity
+from .common import folder
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_read(spark, sf_dir, "documents"))
+    return secrets.Ledger(spark, folder(spark, "ledger")).scan(_read(spark, sf_dir, "documents"))
 
 
 def sentencepiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
