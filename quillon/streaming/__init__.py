@@ -1 +1 @@
-
+"""Structured Streaming into an index."""
