@@ -81,12 +81,14 @@ def append(df: DataFrame, function: Callable[[pa.RecordBatch], tuple[pa.Array |
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     reads = [f.name for f in kept] + [n for n in needs if n.lower() in taken]
     names = [f.name for f in kept]
-    schema = T.StructType(kept + new.fields)
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(kept + new.fields)])  # a name may have dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.rename_columns(reads)
             mask, columns = function(batch)
-            out = pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(n)) for n in names] + columns, names=[f.name for f in schema.fields])
+            out = pa.RecordBatch.from_arrays([batch.column(reads.index(n)) for n in names] + columns, names=schema.names)
             yield out if mask is None else out.filter(mask)
 
-    return df.select(*[field(df, n) for n in reads]).mapInArrow(run, schema)
+    made = df.select(*[field(df, n).alias(f"r{i}") for i, n in enumerate(reads)]).mapInArrow(run, schema)
+    return made.select(*[made[f"c{i}"].alias(f.name) for i, f in enumerate(kept + new.fields)])

@@ -205,15 +205,18 @@ class NearDuplicates:
         """The rows of docs that stay: one of each group, and all that are in none."""
         m = self.members()
         goes = m.where(~(m["__doc"].eqNullSafe(m["__keep_doc"]) & (m["__node"] == m["__keep_node"]))).select("__doc", "__node").distinct()
-        docs = self.docs.withColumn("__node", F.xxhash64(field(self.docs, self.text)))
+        node = "__node"
+        while node.lower() in {c.lower() for c in self.docs.columns}:
+            node += "_"
+        docs = self.docs.withColumn(node, F.xxhash64(field(self.docs, self.text)))
         goes = goes.select(F.col("__doc").alias("__gone"), F.col("__node").alias("__gone_node"))
-        same = (docs["__node"] == goes["__gone_node"]) & field(docs, self.key).eqNullSafe(goes["__gone"]) & field(docs, self.text).isNotNull()
+        same = (docs[node] == goes["__gone_node"]) & field(docs, self.key).eqNullSafe(goes["__gone"]) & field(docs, self.text).isNotNull()
         stay = docs.join(goes, same, "left_anti")
         again = checkpoint(self.rows.groupBy("__doc", "__node").count().where("count > 1").select(F.col("__doc").alias("__gone"), F.col("__node").alias("__gone_node")))
         if not again.isEmpty():  # rows that repeat id and text
-            same = (stay["__node"] == again["__gone_node"]) & field(stay, self.key).eqNullSafe(again["__gone"]) & field(stay, self.text).isNotNull()
-            stay = stay.join(again, same, "left_anti").unionAll(stay.join(again, same, "left_semi").dropDuplicates(["__node", self.key]))
-        return stay.drop("__node")
+            same = (stay[node] == again["__gone_node"]) & field(stay, self.key).eqNullSafe(again["__gone"]) & field(stay, self.text).isNotNull()
+            stay = stay.join(again, same, "left_anti").unionAll(stay.join(again, same, "left_semi").dropDuplicates([node, self.key]))
+        return stay.drop(node)
 
 
 def components(edges: DataFrame) -> DataFrame:
