@@ -99,7 +99,7 @@ class Index:
         """df without the documents deleted after its segment was made."""
         for d in self.manifest["deletes"]:
             if d["seq"] > seq:
-                df = df.join(self._read(d["name"], "doc_id bigint"), "doc_id", "left_anti")
+                df = df.join(self._read(d["name"], "doc_id bigint"), "doc_id", "left_anti").select(*df.columns)  # a join by name puts its column first
         return df
 
     def documents(self, pending: bool = True) -> DataFrame:
