@@ -31,6 +31,7 @@ BITS, PREFIX, NEAREST, BLOCK, EVIDENCE = 20, 5, 128, 64, 5
 #: The most examples of each class.
 SAMPLE, SHARE = 2048, {1: 0.5, 0: 1.0}
 MAX_DF = 0.05
+#: Texts are scored together up to so many postings and scores; a text with more is scored alone.
 _POSTINGS = 1_000_000
 
 
@@ -57,9 +58,15 @@ def frequencies(docs: DataFrame, text: str = "text", bits: int = BITS) -> tuple[
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1]]).astype(np.int32)), pa.array(np.concatenate([total[at], [n]]))], names=["term", "n"])
 
-    rows = docs.select(field(docs, text).alias("__text")).where("__text is not null").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # 2**bits + 1 rows at most
-    out = np.zeros((1 << bits) + 1, np.int64)
-    out[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype("<i4").tobytes()], pa.binary()), pa.array([batch.column(1).to_numpy().astype("<i8").tobytes()], pa.binary())], names=["terms", "counts"])
+
+    counted = docs.select(field(docs, text).alias("__text")).where("__text is not null").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    out = np.zeros((1 << bits) + 1, np.int64)  # 2**bits + 1 counts at most come to the driver, in a few packed rows
+    for r in counted.mapInArrow(pack, "terms binary, counts binary").collect():
+        out[np.frombuffer(r.terms, "<i4")] = np.frombuffer(r.counts, "<i8")
     return out[:-1], int(out[-1])
 
 
@@ -79,14 +86,14 @@ class Index:
         keep = weight > 0
         example, term, weight = example[keep], term[keep], weight[keep]
         order = np.lexsort((example, term))
-        self.example, self.weight, term = example[order], weight[order], term[order]
+        self.example, self.weight, term = example[order].astype(np.int32), weight[order], term[order]
         self.blocks = -(-len(keys) // BLOCK)
         entry = term * self.blocks + self.example // BLOCK
         first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
-        self.start = np.concatenate([first, [len(entry)]])
-        self.block = (entry[first] % self.blocks).astype(np.int64)
+        self.start = np.concatenate([first, [len(entry)]]).astype(np.int32)
+        self.block = (entry[first] % self.blocks).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
-        self.at = np.searchsorted(term[first], np.arange((1 << bits) + 1))
+        self.at = np.searchsorted(term[first], np.arange((1 << bits) + 1)).astype(np.int32)
         self.slope, self.shift = self.calibrate(vectors, prior)
 
     def weigh(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -100,7 +107,8 @@ class Index:
         text, term, weight = text[keep], term[keep], weight[keep]
         near, cosine = np.zeros((n, self.k), np.int64), np.zeros((n, self.k), np.float32)
         entries = self.at[term + 1] - self.at[term]
-        load = np.concatenate([[0], np.cumsum(np.bincount(text, entries, n))])
+        postings = self.start[self.at[term + 1]] - self.start[self.at[term]]
+        load = np.concatenate([[0], np.cumsum(np.bincount(text, postings, n) + len(self.keys))])
         row = 0
         while row < n:
             to = min(max(int(np.searchsorted(load, load[row] + _POSTINGS, "right")) - 1, row + 1), n)
