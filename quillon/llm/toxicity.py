@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and the first PREFIX bytes of longer ones, hashed to 2**BITS; a text's
+Terms are words and the first PREFIXES bytes of longer ones, hashed to 2**BITS; a text's
 vector has (1 + ln tf) * ln(documents / document frequency), of length one. Document
 frequencies are counted over all documents. Terms in more than max_df of them count
 only if the classes of the examples use them unevenly. The examples, at most SAMPLE of
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from . import arrays
 from .common import append, field
 
-BITS, PREFIX, NEAREST, BLOCK, EVIDENCE = 20, 5, 128, 64, 5
+BITS, NEAREST, BLOCK, EVIDENCE = 20, 128, 64, 5
+#: Bytes of the prefixes of longer words that are terms too, as rough stems.
+PREFIXES = (4, 6, 8)
 #: The most examples of each class.
 SAMPLE, SHARE = 2048, {1: 0.5, 0: 1.0}
 MAX_DF = 0.05
@@ -38,9 +40,9 @@ _POSTINGS = 1_000_000
 def terms(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, term and count, ordered by text and term."""
     words = arrays.Words(column)
-    cut, own = words.prefixes(PREFIX)
-    text = np.concatenate([np.repeat(np.arange(len(words.counts)), words.counts), own])
-    term = np.concatenate([words.hashes, cut]) >> np.uint64(64 - bits)
+    cuts = [words.prefixes(size) for size in PREFIXES]
+    text = np.concatenate([np.repeat(np.arange(len(words.counts)), words.counts), *[own for _, own in cuts]])
+    term = np.concatenate([words.hashes, *[cut for cut, _ in cuts]]) >> np.uint64(64 - bits)
     key, many = np.unique(text << bits | term.astype(np.int64), return_counts=True)
     return key >> bits, key & ((1 << bits) - 1), many
 
