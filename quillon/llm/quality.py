@@ -1,7 +1,7 @@
 """Quality classifier: ordinal regression with cumulative links on graded ratings.
 
-A text's score is the mean weight of its hashed byte trigrams, one set of weights
-for all grades; ordered thresholds cut the scores: P(grade <= k) = sigmoid(t[k] - s).
+A text's score is the mean weight of its hashed byte trigrams (those of a word that
+repeats the one before it are one feature of their own), one set of weights for all grades; ordered thresholds cut the scores: P(grade <= k) = sigmoid(t[k] - s).
 The expected grade and the tail probability P(grade >= a chosen one) follow, and the
 tail probability selects. The model is fitted in one task, by full-batch gradients,
 on at most SAMPLE rated texts (those of the smallest hashes of their ids).
@@ -29,13 +29,37 @@ SAMPLE = 4096
 BITS = 16
 
 
+def repeated(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which bytes lie in a word (a run without blanks) that equals the one before it in its text."""
+    n = len(raw)
+    power, inverse = arrays._powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+    word = (raw != 32) & (raw != 10)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    start = np.flatnonzero(word & (edge[:-1] | np.concatenate([[True], ~word[:-1]])))
+    end = np.flatnonzero(word & (edge[1:] | np.concatenate([~word[1:], [True]]))) + 1
+    code = arrays.mix((total[end] - total[start]) * inverse[start])
+    own = np.searchsorted(offsets, start, "right")
+    again = np.flatnonzero((code[1:] == code[:-1]) & (own[1:] == own[:-1])) + 1
+    depth = np.zeros(n + 1, np.int8)
+    depth[start[again]] += 1
+    depth[end[again]] -= 1  # words don't touch within a text, and one that ends a text ends where none that repeats begins
+    return np.cumsum(depth[:n], dtype=np.int8) > 0
+
+
 def features(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of texts and their offsets; texts of one or two bytes have one of what is there."""
+    """Hashed byte trigrams of texts and their offsets; texts of one or two bytes have one of what is there.
+
+    The trigrams of a word that repeats the one before it are feature 0, whatever they are.
+    """
     counts = np.diff(offsets)
     padded = np.concatenate([raw, np.zeros(2, np.uint8)]).astype(np.uint32)
     codes = padded[:-2] << np.uint32(16) | padded[1:-1] << np.uint32(8) | padded[2:]
     codes *= np.uint32(0x9E3779B1)
     codes >>= np.uint32(32 - bits)
+    codes = np.where(repeated(raw, offsets), np.uint32(0), np.maximum(codes, np.uint32(1))) if len(raw) else codes
     many = np.maximum(counts - 2, np.minimum(counts, 1))
     keep = np.ones(len(raw), bool)
     for back in (1, 2):

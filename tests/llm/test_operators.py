@@ -406,3 +406,11 @@ def test_token_counts_equal_the_library(spark, odd, none):
 
 def test_ten_operators_are_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+def test_repeated_words_are_found():
+    texts = ["a bb bb b", "bb", "bb bb", "", "x\nx y  y", "é é"]
+    raw, offsets = arrays.buffer(pa.array(texts))
+    got = quality.repeated(raw, offsets)
+    shown = ["".join("*" if got[i] else "." for i in range(offsets[k], offsets[k + 1])) for k in range(len(texts))]
+    assert shown == [".....**..", "..", "...**", "", "..*....*", "...**"]
