@@ -27,7 +27,7 @@ def anomalous(index: Index, k: int | None = 100, max_df: int | None = None, pend
     max_df None or negative: a thousandth of the documents, 1 at least; 0: none. Of equally rare terms the least is
     named; equal scores by id. k None: all. Documents not flushed yet are left out unless pending.
     """
-    n = index.documents(pending).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    n = index.totals(pending).select(F.col("ndocs").alias("n"))
     return _rarest(index.postings(pending=pending).select("doc_id", "term"), index.dictionary(pending).select("term", "df"), n, k, max_df)
 
 

@@ -40,7 +40,7 @@ def count(index: Index, query: str | Query, pending: bool = True, texts: DataFra
 
 def stats(index: Index) -> DataFrame:
     """(ndocs, avgdl, nterms) of the live documents; nterms counts distinct terms."""
-    docs = index.documents().agg(F.count(F.lit(1)).cast("double").alias("ndocs"), F.coalesce(F.avg("doclen"), F.lit(0.0)).alias("avgdl"))
+    docs = index.totals().select("ndocs", "avgdl")
     return docs.crossJoin(F.broadcast(index.dictionary().agg(F.count(F.lit(1)).alias("nterms"))))  # one row each
 
 

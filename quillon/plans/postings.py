@@ -44,7 +44,7 @@ def _plan(query: Query) -> tuple[dict[tuple, Leaf], bool]:
 
 def statistics(index: Index, terms: list[str], pending: bool = True) -> DataFrame:
     """One row: ndocs, sumdoclen, avgdl, and df0, df1, … of the terms (null without postings)."""
-    docs = index.documents(pending).agg(F.count(F.lit(1)).cast("double").alias("ndocs"), F.coalesce(F.sum("doclen"), F.lit(0)).cast("double").alias("sumdoclen"), F.coalesce(F.avg("doclen"), F.lit(0.0)).alias("avgdl"))
+    docs = index.totals(pending)
     if not terms:
         return docs
     words = index.dictionary(pending).where(F.col("term").isin(terms))

@@ -145,6 +145,15 @@ class Index:
             return parts[0]
         return self._union(parts, "term string, df bigint, max_tf int").groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"))
 
+    def totals(self, pending: bool = True) -> DataFrame:
+        """One row: ndocs, sumdoclen, avgdl. From the manifest, unless there are pending or deleted documents to count."""
+        if self.has_deletes() or (pending and self.manifest["pending"]):
+            rows = self.documents(pending).agg(F.count(F.lit(1)).cast("double").alias("ndocs"), F.coalesce(F.sum("doclen"), F.lit(0)).cast("double").alias("sumdoclen"))
+        else:
+            n, total = (float(sum(s[k] for s in self.manifest["segments"])) for k in ("ndocs", "sumdoclen"))
+            rows = self.spark.range(1).select(F.lit(n).alias("ndocs"), F.lit(total).alias("sumdoclen"))
+        return rows.select("ndocs", "sumdoclen", F.when(F.col("ndocs") > 0, F.col("sumdoclen") / F.col("ndocs")).otherwise(0.0).alias("avgdl"))
+
     def segments(self) -> int:
         return len(self.manifest["segments"])
 
@@ -188,8 +197,8 @@ class Index:
         placed.repartition(buckets * shards, "bucket", shard).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/{name}/postings")
         written = self._read(f"{name}/postings", POSTINGS + ", bucket int")
         written.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/dictionary")
-        n = self.spark.read.parquet(f"{self.path}/{name}/docs").count()
-        return {"name": name, "seq": seq, "ndocs": n}
+        n, total = self._read(f"{name}/docs", "doc_id bigint, doclen int").agg(F.count(F.lit(1)), F.coalesce(F.sum("doclen"), F.lit(0))).first()
+        return {"name": name, "seq": seq, "ndocs": n, "sumdoclen": total}
 
     def flush(self) -> Index:
         """Pending documents as a segment of their own; the index itself if there are none."""

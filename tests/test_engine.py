@@ -246,5 +246,6 @@ def test_corpora(spark, tmp_path):
 def test_filters_reach_the_files(spark):
     index = Index.build(frame(spark, *DOCS), storage.scratch(spark, "t"))
     plan = search.search(index, "quick")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan and "In(term, [quick])" in plan.replace("EqualTo(term,quick)", "In(term, [quick])") and "positions" not in plan.split("ReadSchema")[1]
+    assert "(bucket#" in plan.split("PartitionFilters")[1] and "PushedFilters: [IsNotNull(term), EqualTo(term,quick)]" in plan and "positions" not in plan
+    assert "doclen:int>" in plan and plan.count("Exchange hashpartitioning") == 1  # the one by document
     assert match_text  # the scan's predicate is public
