@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, table
+from .common import field, smallest, table
 
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: The most vectors to train codebooks on, and of queries to set the shortlist by.
@@ -144,7 +144,7 @@ def neighbours(df: DataFrame, vector: str = "embedding", key: str = "vec_id", k:
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(field(df, key).cast("bigint").alias("__id"), field(df, vector).cast("array<float>").alias("__v")).where("__id is not null and __v is not null and size(__v) > 0 and not exists(__v, x -> x is null or isnan(x))")
     empty = spark.createDataFrame([], f"`{key}` {kind}, rank int, neighbour bigint, distance double")
-    bounded = rows.orderBy(F.xxhash64("__id", "__v")).limit(sample).toPandas()
+    bounded = smallest(rows, sample, "__id", "__v").toPandas()
     if not len(bounded):
         return empty
     d = len(bounded["__v"].iloc[0])

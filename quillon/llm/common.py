@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _written: list[tuple[SparkSession, str]] = []
@@ -71,6 +72,22 @@ def only(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[field(df, name).alias(key) for key, name in names.items()])
 
 
+def smallest(df: DataFrame, n: int, *names: str) -> DataFrame:
+    """The n rows of df with the smallest hashes of the named columns, all if there are fewer.
+
+    Hashes are evenly spread, so rows beyond a bound that a few times n fall under are left out where they lie; if
+    copies of rows make too few fall under it, the bound is raised. What moves is a few times n rows at any size.
+    """
+    rows = df.select("*", F.xxhash64(*[field(df, x) for x in names]).alias("__hash"))
+    many = df.count()
+    share = min(1.0, 4 * n / max(many, 1))
+    while True:
+        part = rows if share >= 1 else rows.where(F.col("__hash") <= int(share * (1 << 64)) - (1 << 63))
+        if share >= 1 or part.count() >= n:
+            return part.orderBy("__hash").limit(n).drop("__hash")
+        share *= 4
+
+
 def append(df: DataFrame, function: Callable[[pa.RecordBatch], tuple[pa.Array | None, list[pa.Array]]], fields: str | T.StructType, needs: Iterable[str] = (), drop: Iterable[str] = ()) -> DataFrame:
     """df with further columns, made from each Arrow batch; function returns a mask of rows to keep (None: all) and the new columns.
 

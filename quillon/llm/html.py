@@ -25,9 +25,8 @@ from collections import deque
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import append, field
+from .common import append, field, smallest
 
 #: The most pages to fit the model on.
 SAMPLE = 2000
@@ -294,8 +293,7 @@ def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array(list(np.concatenate(x)[named]), pa.list_(pa.float64())), pa.array((np.array(y)[named] > 0).astype(np.int32))], names=["x", "y"])
 
     texts = pages.select(field(pages, html).alias("__html")).where("__html is not null")
-    chosen = texts.withColumn("__h", F.xxhash64("__html")).orderBy("__h").limit(sample).select("__html")
-    rows = chosen.mapInArrow(run, "x array<double>, y int").toPandas()
+    rows = smallest(texts, sample, "__html").mapInArrow(run, "x array<double>, y int").toPandas()
     if not len(rows):
         return DEFAULT
     return fit(np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float))

@@ -414,3 +414,13 @@ def test_repeated_words_are_found():
     got = quality.repeated(raw, offsets)
     shown = ["".join("*" if got[i] else "." for i in range(offsets[k], offsets[k + 1])) for k in range(len(texts))]
     assert shown == [".....**..", "..", "...**", "", "..*....*", "...**"]
+
+
+def test_smallest_hashes(spark):
+    from quillon.llm.common import smallest
+
+    df = spark.createDataFrame([(i % 50 if i < 900 else i,) for i in range(1500)], "x int")
+    h = sorted(r[0] for r in df.select(F.xxhash64("x")).collect())
+    for n in (1, 7, 100, 1499, 5000):
+        got = smallest(df, n, "x")
+        assert sorted(r[0] for r in got.select(F.xxhash64("x")).collect()) == h[:n]
