@@ -1,18 +1,12 @@
 """Benchmark decontamination: passages of documents within an edit distance of an item.
 
 Texts are sequences of words in lower case; an item of n words matches a passage at a
-word edit distance of at most floor(ratio * n). The CGK embedding (a random walk over
-the sequence that repeats the word it stands on, stepping on by a random bit of the
-word and the step) maps edit distance to Hamming distance between sequences of 3n
-symbols; an item-sized window is a candidate if, in one of the repetitions of
-bit-sampling, all sampled symbols agree with the item's. The number of repetitions is
-the least with which windows at the largest distance, made from the items by random
-edits, are found with probability recall. Candidates are verified by exact alignment
-of the item with the text around the window.
-
-Of item-sized windows only those are embedded that can match: k edits leave one of
-k + 1 equal segments of the item whole (the pigeonhole principle), so the windows that
-hold no whole segment in its place lie out of reach and leaving them out loses nothing.
+word edit distance of at most floor(ratio * n). Two filters leave the windows that can
+match, and neither loses one. k edits leave one of k + 1 equal segments of the item
+whole (the pigeonhole principle): windows are where a segment of an item is found in
+its place. At least n - k words of the item occur in the text around such a window;
+the windows with fewer go. All others are verified by exact alignment of the item with
+the text around the window, so every match is found, whatever the item's length.
 
 Null and empty texts have no passages. Items that are null or have fewer words than
 min_words match nothing. A repeated item matches under each of its ids; a repeated
@@ -33,10 +27,11 @@ from pyspark.sql import types as T
 from . import arrays
 from .common import append, field
 
-RATIO, MIN_WORDS, RECALL = 0.2, 5, 0.98
+RATIO, MIN_WORDS = 0.2, 5
 #: Items that one pass over the documents looks for; more take more passes.
 ITEMS_A_PASS = 50_000
-EMBEDDINGS, SAMPLED, MOST = 6, 2, 64
+#: Words of windows that are compared at a time.
+WORDS_A_TIME = 1 << 18
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -51,34 +46,14 @@ def segment_hashes(words: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def embed(windows: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embeddings of rows of words (0 beyond their lengths): 3 symbols a column, 0 when the walk is over."""
-    rows, width = windows.shape
-    at, out = np.zeros(rows, np.int64), np.zeros((rows, 3 * width), np.uint64)
-    here = np.arange(rows)
-    salts = arrays.mix(np.arange(1, 3 * width + 1, dtype=np.uint64) * _C[0] + np.uint64(seed * int(_C[1]) & (1 << 64) - 1))
-    for step in range(3 * width):
-        symbol = np.where(at < lengths, windows[here, np.minimum(at, width - 1)], 0)
-        out[:, step] = symbol
-        at += ((symbol ^ salts[step]) * _C[0] >> np.uint64(63)).astype(np.int64)
-    return out
-
-
-def samples(length: int, repetition: int) -> np.ndarray:
-    """The steps that a repetition of bit-sampling compares, for items of a length; the walk is at the end after about two steps a word."""
-    rng = np.random.default_rng([repetition, length])
-    return rng.choice(max(2 * length, 1), size=min(SAMPLED, max(2 * length, 1)), replace=False)
-
-
-def agree(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, repetitions: int, embedding: int) -> np.ndarray:
-    """Rows whose sampled symbols agree in one of the repetitions that use this embedding."""
-    found = np.zeros(len(a), bool)
-    for n in np.unique(lengths):
-        rows = np.flatnonzero(lengths == n)
-        for r in range(embedding, repetitions, EMBEDDINGS):
-            steps = samples(int(n), r)
-            found[rows] |= (a[rows][:, steps] == b[rows][:, steps]).all(1)
-    return found
+def shared(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """How many words of each item occur in its text."""
+    own = np.arange(1, len(items) + 1, dtype=np.uint64)[:, None] * _C[2]
+    inside = np.arange(items.shape[1])[None] < lengths[:, None]
+    present = np.isin(arrays.mix(items ^ own)[inside], arrays.mix(texts ^ own)[np.arange(texts.shape[1])[None] < widths[:, None]])
+    out = np.zeros(inside.shape, bool)
+    out[inside] = present
+    return out.sum(1)
 
 
 def distances(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +77,9 @@ def distances(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray, widths:
 
 
 class Items:
-    """What a pass looks for: the words of items, their segments, their embeddings."""
+    """What a pass looks for: the words of items and their segments."""
 
-    def __init__(self, ids: list[int], texts: list[str], ratio: float, min_words: int, recall: float):
+    def __init__(self, ids: list[int], texts: list[str], ratio: float, min_words: int):
         words = arrays.Words(pa.array(texts, pa.string()))
         kept = [i for i in range(len(ids)) if words.counts[i] >= max(min_words, 1)]
         self.ids = np.array([ids[i] for i in kept], np.int64)
@@ -127,36 +102,6 @@ class Items:
             bits = np.zeros(1 << 18, bool)
             bits[keys >> np.uint64(46)] = True
             self.segments[q] = (bits, keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-        self.embedded = [embed(self.words, self.lengths, e) for e in range(EMBEDDINGS)]
-        self.repetitions = self.calibrate(recall)
-
-    def calibrate(self, recall: float) -> int:
-        """Repetitions for the recall at the largest distance: random substitutions, deletions and insertions, as many as an item allows."""
-        rng = np.random.default_rng(7)
-        if not len(self.ids):
-            return 1
-        chosen = rng.choice(len(self.ids), size=256)
-        edited, sizes = np.zeros((256, self.words.shape[1]), np.uint64), []
-        for k, i in enumerate(chosen):
-            x = list(self.words[i, : self.lengths[i]])
-            for _ in range(int(self.edits[i])):
-                at, kind = int(rng.integers(len(x))), rng.integers(3)
-                fresh = np.uint64(rng.integers(1, 1 << 62))
-                x[at : at + (kind != 2)] = [fresh] if kind != 1 else []
-            x = x[: self.lengths[i]]
-            edited[k, : len(x)] = x
-            sizes.append(len(x))
-        found, lengths = np.zeros(256, bool), self.lengths[chosen]
-        walks = [(embed(edited, np.array(sizes), e), self.embedded[e][chosen]) for e in range(EMBEDDINGS)]
-        for r in range(1, MOST + 1):
-            e = (r - 1) % EMBEDDINGS
-            for n in np.unique(lengths):
-                rows = np.flatnonzero(lengths == n)
-                steps = samples(int(n), r - 1)
-                found[rows] |= (walks[e][0][rows][:, steps] == walks[e][1][rows][:, steps]).all(1)
-            if found.mean() >= recall:
-                return r
-        return MOST
 
     def find(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word, word after the last) of the best passage for each text and item that match."""
@@ -178,29 +123,29 @@ class Items:
         doc = np.searchsorted(offsets, place, "right") - 1
         start = place - shift - offsets[doc]
         doc, item, start = np.unique(np.stack([doc, item, start]), axis=1)
-        live = np.zeros(len(doc), bool)
-        windows = self.window(h, offsets, doc, start, self.lengths[item], self.words.shape[1])
-        sizes = np.minimum(self.lengths[item], np.maximum(words.counts[doc] - start, 0))
-        for e in range(min(EMBEDDINGS, self.repetitions)):
-            rest = np.flatnonzero(~live)
-            if not len(rest):
-                break
-            live[rest] = agree(embed(windows[rest], sizes[rest], e), self.embedded[e][item[rest]], self.lengths[item[rest]], self.repetitions, e)
-        doc, item, start = doc[live], item[live], start[live]
-        if not len(doc):
-            return
+        order = np.argsort(self.lengths[item], kind="stable")
+        doc, item, start = doc[order], item[order], start[order]
         n, k = self.lengths[item], self.edits[item]
         from_ = np.maximum(start - k, 0)
         to = np.minimum(start + n + k, words.counts[doc])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for a in range(0, len(doc), 4096):
-            s = slice(a, a + 4096)
+        a = 0
+        while a < len(doc):
+            # rows of about one length: half as many at twice the length
+            b = min(a + max(1, WORDS_A_TIME // int(n[a] + 2 * k[a])), int(np.searchsorted(n, 2 * n[a], "right")))
+            s = np.arange(a, b)
+            a = b
             text = self.window(h, offsets, doc[s], from_[s], (to - from_)[s], int((to - from_)[s].max()))
-            d, end = distances(self.words[item[s]], n[s], text, (to - from_)[s])
+            can = shared(self.words[item[s], : n[s].max()], n[s], text, (to - from_)[s]) >= n[s] - k[s]
+            if not can.any():
+                continue
+            s, text = s[can], text[can]
+            wanted = self.words[item[s], : n[s].max()]
+            d, end = distances(wanted, n[s], text, (to - from_)[s])
             ok = np.flatnonzero(d <= k[s])
             if not len(ok):
                 continue
-            back, size = self.words[item[s][ok]], end[ok]
+            back, size = wanted[ok], end[ok]
             flipped = np.zeros((len(ok), text.shape[1]), np.uint64)
             for r, i in enumerate(ok):
                 flipped[r, : size[r]] = text[i, : size[r]][::-1]
@@ -241,21 +186,21 @@ class Items:
         return np.where(ok, h[np.clip(at + offsets[doc][:, None], 0, max(len(h) - 1, 0))], 0)
 
 
-def passes(items: DataFrame, text: str, key: str, ratio: float, min_words: int, recall: float, a_pass: int) -> Iterator[Items]:
+def passes(items: DataFrame, text: str, key: str, ratio: float, min_words: int, a_pass: int) -> Iterator[Items]:
     """The items, by a bounded number a time."""
     clean = items.select(field(items, key).cast("bigint").alias("id"), field(items, text).alias("text")).where("id is not null and text is not null")
     many = max(1, math.ceil(clean.count() / a_pass))
     for k in range(many):
         part = clean if many == 1 else clean.where(F.pmod(F.xxhash64("id", "text"), F.lit(many)) == k)
         rows = part.orderBy("id", "text").collect()
-        yield Items([r.id for r in rows], [r.text for r in rows], ratio, min_words, recall)
+        yield Items([r.id for r in rows], [r.text for r in rows], ratio, min_words)
 
 
-def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", ratio: float = RATIO, min_words: int = MIN_WORDS, recall: float = RECALL, a_pass: int = ITEMS_A_PASS) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", ratio: float = RATIO, min_words: int = MIN_WORDS, a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """(doc_id, item_id, edits, item_words, first_word, end_word): the nearest passage for each document row and item that match."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), *T.StructType.fromDDL("item_id bigint, edits int, item_words int, first_word int, end_word int").fields])
     out = None
-    for wanted in passes(items, item_text, item_key, ratio, min_words, recall, a_pass):
+    for wanted in passes(items, item_text, item_key, ratio, min_words, a_pass):
 
         def run(batches, wanted=wanted):
             for batch in batches:
@@ -274,9 +219,9 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "d
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", ratio: float = RATIO, min_words: int = MIN_WORDS, recall: float = RECALL, a_pass: int = ITEMS_A_PASS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", ratio: float = RATIO, min_words: int = MIN_WORDS, a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """The rows of docs that have no passage of an item."""
-    for wanted in passes(items, item_text, item_key, ratio, min_words, recall, a_pass):
+    for wanted in passes(items, item_text, item_key, ratio, min_words, a_pass):
 
         def run(batch: pa.RecordBatch, wanted=wanted) -> tuple[pa.Array, list[pa.Array]]:
             column = batch.column(batch.schema.names.index(text))

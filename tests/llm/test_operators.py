@@ -298,6 +298,23 @@ def test_decontamination_edges(spark, odd, none):
     assert decontaminate.matches(odd, items.where("false")).count() == 0 == decontaminate.matches(none, items).count()
 
 
+@pytest.mark.parametrize("length", [200, 600])
+def test_decontamination_finds_long_items(length):
+    rng = np.random.default_rng(length)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    take = lambda n: [vocabulary[i] for i in rng.integers(len(vocabulary), size=n)]
+    items = [take(length) for _ in range(20)] + [take(20) for _ in range(400)]  # short items dominate
+    wanted = decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items], 0.2, 5)
+    docs = []
+    for item in items[:20]:
+        passage = list(item)
+        for _ in range(length // 5):
+            at, kind = int(rng.integers(len(passage))), rng.integers(3)
+            passage[at : at + (kind != 2)] = take(1) if kind != 1 else []
+        docs.append(" ".join(take(50) + passage + take(50)))
+    assert {(row, i) for row, i, *_ in wanted.find(pa.array(docs))} == {(i, i) for i in range(20)}
+
+
 # 7
 
 
