@@ -22,6 +22,9 @@ _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
+#: Code points of scripts written without blanks, and of full-width punctuation and blanks; first and last of each range.
+_UNSPACED = np.array([(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C), (0x3041, 0x309F), (0x30A1, 0x30FA), (0x30FC, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF)])
+_WIDE_MARKS = np.array([(0x3000, 0x3004), (0x3008, 0x3020), (0x302A, 0x3030), (0x3036, 0x3037), (0x303D, 0x3040), (0x30A0, 0x30A0), (0x30FB, 0x30FB), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)])
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[65:91] += np.uint64(32)
 
@@ -78,13 +81,33 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def _within(codes: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(ranges[:, 0], codes, "right") - 1
+    return (at >= 0) & (codes <= ranges[np.maximum(at, 0), 1])
+
+
+def wide(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths in UTF-8 of the characters of scripts without blanks, and those of full-width punctuation."""
+    at = np.flatnonzero(raw >= 0xE0)
+    size = np.where(raw[at] >= 0xF0, 4, 3)
+    last = max(len(raw) - 1, 0)
+    codes = np.where(size == 4, raw[at] & 7, raw[at] & 15).astype(np.int64)
+    for j in (1, 2):
+        codes = codes << 6 | (raw[np.minimum(at + j, last)] & 63)
+    codes = np.where(size == 4, codes << 6 | (raw[np.minimum(at + 3, last)] & 63), codes)
+    one, mark = _within(codes, _UNSPACED), _within(codes, _WIDE_MARKS)
+    return at[one], size[one], at[mark], size[mark]
+
+
 class Words:
     """Words of a batch of texts: spans of ASCII letters, digits and bytes of 128 or more, in lower case.
 
+    With characters, each character of a script without blanks (Chinese, Japanese, Thai and
+    others) is a word, and full-width punctuation is in none.
     hashes has 64 bits for each word; offsets[i]:offsets[i + 1] are the words of text i.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, characters: bool = False):
         column = pc.fill_null(column, "") if column.null_count else column
         if len(column):
             raw, _ = buffer(column)
@@ -93,6 +116,8 @@ class Words:
         raw, at = buffer(column)
         n = raw.size
         inside = _WORD[raw]
+        one, one_size, mark, mark_size = wide(raw) if characters else [np.zeros(0, np.int64)] * 4
+        inside[ragged_positions(mark, mark_size)] = False
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         if n:
             before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -100,6 +125,10 @@ class Words:
             edges = edges[(edges > 0) & (edges < n)]
             before[edges] = False
             after[edges - 1] = False
+        before[one] = after[one + one_size - 1] = False
+        after[one[one > 0] - 1] = False
+        next_ = one + one_size
+        before[next_[next_ < n]] = False
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         power, inverse = _powers(n + 1)

@@ -8,9 +8,10 @@ its place. At least n - k words of the item occur in the text around such a wind
 the windows with fewer go. All others are verified by exact alignment of the item with
 the text around the window, so every match is found, whatever the item's length.
 
-Null and empty texts have no passages. Items that are null or have fewer words than
-min_words match nothing. A repeated item matches under each of its ids; a repeated
-row has its matches again. Equal distances: the first passage.
+Characters of scripts without blanks are words of their own. Items of fewer words than
+min_words match only passages equal to them, word by word. Null texts and those without
+words have no passages, and such items match nothing. A repeated item matches under each
+of its ids; a repeated row has its matches again. Equal distances: the first passage.
 """
 
 from __future__ import annotations
@@ -80,12 +81,12 @@ class Items:
     """What a pass looks for: the words of items and their segments."""
 
     def __init__(self, ids: list[int], texts: list[str], ratio: float, min_words: int):
-        words = arrays.Words(pa.array(texts, pa.string()))
-        kept = [i for i in range(len(ids)) if words.counts[i] >= max(min_words, 1)]
+        words = arrays.Words(pa.array(texts, pa.string()), characters=True)
+        kept = [i for i in range(len(ids)) if words.counts[i]]
         self.ids = np.array([ids[i] for i in kept], np.int64)
         each = [words.hashes[words.offsets[i] : words.offsets[i + 1]] for i in kept]
         self.lengths = np.array([len(x) for x in each], np.int64)
-        self.edits = np.floor(ratio * self.lengths + 1e-9).astype(np.int64)
+        self.edits = np.where(self.lengths < min_words, 0, np.floor(ratio * self.lengths + 1e-9)).astype(np.int64)
         self.words = np.zeros((len(each), int(self.lengths.max(initial=1))), np.uint64)
         for i, x in enumerate(each):
             self.words[i, : len(x)] = x
@@ -105,7 +106,7 @@ class Items:
 
     def find(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word, word after the last) of the best passage for each text and item that match."""
-        words = arrays.Words(column)
+        words = arrays.Words(column, characters=True)
         h, offsets = words.hashes, words.offsets
         place, item, shift = [], [], []
         for q, (bits, keys, items, at) in self.segments.items():

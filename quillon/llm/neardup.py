@@ -1,6 +1,6 @@
 """Near-duplicate documents: MinHash, banding, sequential Bayesian verification, exact Jaccard.
 
-Texts are sets of runs of SHINGLE words in lower case; two are near duplicates if their
+Texts are sets of runs of SHINGLE words in lower case (characters of scripts without blanks are words of their own); two are near duplicates if their
 Jaccard similarity is at least threshold. Equal texts are one node, keyed by a 64-bit
 hash of the text. Nodes that share a band of their signatures lie in a bucket. A pair
 of a bucket is compared batch of hashes by batch: with m of n equal, the posterior of
@@ -41,7 +41,7 @@ _MUL = _rng.integers(1 << 32, size=4096, dtype=np.uint32) | np.uint32(1)
 
 def signatures(column: pa.Array, hashes: int, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """MinHash signatures (rows, hashes) of texts and their numbers of shingles; a text without words has none (all ones)."""
-    codes, offsets = arrays.Words(column).ngrams(shingle)
+    codes, offsets = arrays.Words(column, characters=True).ngrams(shingle)
     many = np.diff(offsets)
     out = np.full((len(many), hashes), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(many)
@@ -175,7 +175,7 @@ class NearDuplicates:
                 if node not in last:
                     if len(last) > 64:
                         last.clear()
-                    last[node] = np.unique(arrays.Words(pa.array([zlib.decompress(z).decode()])).ngrams(shingle)[0])
+                    last[node] = np.unique(arrays.Words(pa.array([zlib.decompress(z).decode()]), characters=True).ngrams(shingle)[0])
                 return last[node]
 
             for b in batches:

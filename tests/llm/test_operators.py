@@ -250,6 +250,27 @@ def test_pruning_keeps_similar_pairs():
     assert len(neardup.survivors(a, b, 0.6, 0.001, 32)) <= 20
 
 
+HAN = "".join(chr(0x4E00 + 37 * i) for i in range(400))
+
+
+def test_characters_of_scripts_without_blanks_are_words():
+    def cut(text, **how):
+        w = arrays.Words(pa.array(["x", text, "y"]), **how)
+        return [bytes(w.raw[w.starts[k] : w.ends[k]]).decode() for k in range(w.offsets[1], w.offsets[2])]
+
+    assert cut("abc日本。ﾃｽnaïve—x 𠀀é中", characters=True) == ["abc", "日", "本", "ﾃ", "ｽ", "naïve—x", "𠀀", "é", "中"]
+    assert cut("ไทย「한국어 말」", characters=True) == ["ไ", "ท", "ย", "한국어", "말"]
+    assert cut("abc日本。ab c") == ["abc日本。ab", "c"]
+    assert arrays.Words(pa.array(["日本", "語", "", "a"]), characters=True).counts.tolist() == [2, 1, 0, 1]
+
+
+def test_near_duplicates_in_scripts_without_blanks(spark):
+    rng = random.Random(14)
+    text = "".join(rng.choice(HAN) for _ in range(300))
+    docs = frame(spark, [(1, text), (2, text[:150] + "，" + text[151:]), (3, "".join(rng.choice(HAN) for _ in range(300)))])
+    assert [(r.doc_id, r.duplicate_of) for r in neardup.NearDuplicates(docs).pairs().collect()] == [(2, 1)]
+
+
 # 6
 
 
@@ -298,6 +319,17 @@ def test_decontamination_edges(spark, odd, none):
     assert decontaminate.matches(odd, items.where("false")).count() == 0 == decontaminate.matches(none, items).count()
 
 
+def test_decontamination_of_short_items_and_scripts_without_blanks(spark):
+    rng = random.Random(15)
+    item = "".join(rng.choice(HAN) for _ in range(40))
+    text = "".join(rng.choice(HAN) for _ in range(100))
+    docs = frame(spark, [(1, text[:50] + item[:20] + "。" + item[21:] + text[50:]), (2, text), (3, "so Who, wrote hamlet? they ask"), (4, "who had wrote hamlet")])
+    items = spark.createDataFrame([(1, item), (2, "Who wrote Hamlet?"), (3, "?!"), (4, "")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.edits, r.first_word, r.end_word) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(1, 1, 1, 50, 89), (3, 2, 0, 1, 4)}
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {2, 4}
+
+
 @pytest.mark.parametrize("length", [200, 600])
 def test_decontamination_finds_long_items(length):
     rng = np.random.default_rng(length)
