@@ -13,7 +13,10 @@ nav, footer, aside and the like), on a bounded sample of pages, from the shallow
 features alone; without such pages a fixed one serves.
 
 Null pages have null text, pages without text the empty one. Malformed markup never
-fails: unknown or unclosed tags end where their parent ends.
+fails: unknown or unclosed tags end where their parent ends. What svg, template and
+noscript hold is left out if they are closed before their parent ends; a self-closing
+svg ends at its tag, and unclosed ones hide nothing. Only script, style, title and
+comments run to the end of the page if they aren't closed.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,12 @@ ADJACENT, SIBLING = 1.2, 0.8
 PRIOR = 3.0
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title)\b(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|(<(script|style|title)\b(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>).*?(</\2\s*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>",
     re.S | re.I,
 )
+_HIDES = frozenset("noscript svg template".split())
+_HIDING = re.compile(r"<(?:noscript|svg|template)\b", re.I)
 _BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _GOOD = frozenset("article main".split())
@@ -56,6 +62,49 @@ class Block:
         self.parent = path[-1] if path else 0
 
 
+def tokens(page: str) -> Iterator[tuple[re.Match, int, str]]:
+    """Comments, raw elements and tags of a page: match, end, name (empty for what is no tag)."""
+    at = svg = 0
+    while m := _TOKEN.search(page, at):
+        at, name = m.end(), (m[5] or m[8] or "").lower()
+        if name == "svg":
+            svg = max(svg - 1, 0) if m[4] or m[7] else svg + (not m[0].endswith("/>"))
+        elif svg and m[1] and (m[1].endswith("/>") or not m[3]):
+            at = m.end(1)  # in an svg these are elements like others
+        yield m, at, name
+
+
+def hidden(page: str) -> dict[int, int]:
+    """Where each closed svg, template or noscript starts and ends, of those in no other one."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []  # open elements: name, start
+    for m, end, name in tokens(page):
+        if name not in _BLOCK and name not in _BAD and name not in _HIDES and name != "foreignobject" or name in _VOID:
+            continue
+        if not (m[4] or m[7]):
+            if name in _BLOCK:  # ends an svg, if not in a foreignObject
+                k = len(stack)
+                while k and stack[k - 1][0] == "svg":
+                    k -= 1
+                del stack[k:]
+            if name not in ("svg", "foreignobject") or not m[0].endswith("/>"):
+                stack.append((name, m.start()))
+            continue
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == name:
+                if name in _HIDES:
+                    while out and next(reversed(out)) > stack[k][1]:
+                        out.popitem()
+                    out[stack[k][1]] = end
+                del stack[k:]
+                break
+            if stack[k][0] == "template":  # tags in a template don't close what is around it
+                if any(x[0] == name and x[0] in _HIDES for x in stack[:k]):
+                    continue
+                break
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order. hint: 1 inside article, main or the like, -1 inside nav, footer or the like, 0 otherwise; the innermost counts."""
     out: list[Block] = []
@@ -75,19 +124,24 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    hides = hidden(page) if _HIDING.search(page) else {}
+    for m, end, name in tokens(page):
+        if m.start() < at:
+            continue
         if m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
             if links:
                 linked += len(text.split())
-        at = m.end()
-        name = (m[3] or m[6] or "").lower()
+        at = hides.get(m.start(), end)
+        if at > end:
+            flush()
+            continue
         if not name:
             if m[1]:
                 flush()
             continue
-        closing, attributes = m[2] or m[5], m[4] or m[7] or ""
+        closing, attributes = m[4] or m[7], m[6] or m[9] or ""
         if name == "a":
             links = 0 if closing else 1
         if name not in _BLOCK and name not in _BAD:

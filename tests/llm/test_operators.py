@@ -372,6 +372,27 @@ def test_pages(spark, none):
     assert html.extract(pages.where("false"), html.train(pages.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>before</p><svg viewBox='0 0 1 1' /><p>main</p>", ["before", "main"]),
+        ("<p>an <svg/> icon</p><p>main</p><svg><text>label</text></svg><p>after</p>", ["an icon", "main", "after"]),
+        ("<div><noscript>no script<p>main</p></div><p>after</p>", ["no script", "main", "after"]),
+        ("<template><p>main</p>", ["main"]),
+        ("<noscript><p>left out</p></noscript><template><svg/><p>left out</p></template>main", ["main"]),
+        ("<div><svg><path d='M0'></div><p>main</p><svg><title>icon</title></svg><p>after</p>", ["main", "after"]),
+        ("<svg><path/><p>main</p><svg><g/></svg>after", ["main", "after"]),
+        ("a<svg><svg>x</svg>y</svg><svg><title/><style/></svg>main<template>x<template>y</template>z</template>", ["a", "main"]),
+        ("<svg><foreignObject><div>left out</div></foreignObject></svg>main", ["main"]),
+        ("<noscript>unclosed<p>main</p><noscript>left out</noscript>after", ["unclosed", "main", "after"]),
+        ("main<script>var a = '</p>';", ["main"]),
+        ("main<style>p {}</style><!-- <p>x", ["main"]),
+    ],
+)
+def test_elements_that_are_left_out(page, want):
+    assert [b.text for b in html.blocks(page)] == want
+
+
 # 8
 
 
