@@ -37,15 +37,18 @@ class Rule:
         return f"{self.name}@{self.version}"
 
 
+_KEY = "[A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?"
+
 RULES = (
     Rule("aws_access_key", 1, "AKIA[0-9A-Z]{16}", "AKIA"),
     Rule("github_token", 1, "gh[pousr]_[0-9A-Za-z]{36}", "gh"),
     Rule("slack_token", 1, "xox[abprs]-[0-9A-Za-z-]{10,}", "xox"),
     Rule("google_api_key", 1, "AIza[0-9A-Za-z_-]{35}", "AIza"),
     Rule("stripe_key", 1, "sk_live_[0-9A-Za-z]{24,}", "sk_live_"),
-    Rule("private_key", 1, "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "PRIVATE KEY-----"),
+    # up to the END line; without one, the header and the lines of base64 below it. Bounded repetitions: Java's stack, RE2's size
+    Rule("private_key", 2, f"-----BEGIN {_KEY}-----(?:[^-]*(?:-{{1,4}}[^-]+){{0,16}}-----END {_KEY}-----|(?:[ \\t\\r\\n]{{1,4}}[0-9A-Za-z+/=]{{16,}}){{0,60}})", "PRIVATE KEY"),
     Rule("json_web_token", 1, "eyJ[0-9A-Za-z_-]{8,}[.]eyJ[0-9A-Za-z_-]{8,}[.][0-9A-Za-z_-]{8,}", "eyJ"),
-    Rule("assigned_secret", 1, "(?i:token|secret|password|passwd|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"'][0-9A-Za-z+/_=-]{16,}[\"']"),
+    Rule("assigned_secret", 2, "(?i:token|secret|password|passwd|api_key|apikey|access_key)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?[0-9A-Za-z+/_=-]{16,}[\"']?"),
 )
 
 
