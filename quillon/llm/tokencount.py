@@ -1,17 +1,20 @@
 """Token counts of byte-level BPE, without making the tokens.
 
 Pre-tokens that a worker has not met are merged in batches: their symbols lie in one
-ragged array, and each round applies to every sequence its pair of lowest rank, at
-the leftmost place, all at once; a sequence that has no ranked pair left is done, and
-its surviving symbols are its count. A sequence longer than LONG symbols, of which
-each round would move all, goes through a heap of its pairs instead, with the same
-result.
+ragged array, and each round applies to every sequence its pair of lowest rank, in all
+sequences at once; a sequence that has no ranked pair left is done, and its surviving
+symbols are its count. Within a sequence all places of that pair are merged in the same
+round, from the left, up to one beside which a pair of a lower rank comes up. Before
+that each pre-token falls apart between bytes that stand beside each other in no token
+of the vocabulary: no merge crosses such a place, so the parts are sequences of their
+own, and a very long pre-token is a batch of short ones.
+
+Rounds are as many as the longest part has distinct pairs to merge, at any length.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from functools import lru_cache
 from pathlib import Path
 
@@ -24,7 +27,6 @@ from .common import append
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG = 256
 #: Counts of up to so many pre-tokens are kept in a worker.
 KEPT, KEPT_CHARS = 600_000, 48
 _NONE = np.int64(1 << 40)
@@ -46,7 +48,18 @@ class Merges:
         order = np.argsort(np.array(keys, np.int64))
         self.keys = np.concatenate([np.array(keys, np.int64)[order], [np.int64(1) << 60]])
         self.values = np.concatenate([np.array(values, np.int64)[order], [_NONE]])
-        self.pair = dict(zip(keys, values, strict=True))
+        #: Symbols with a pair of a rank below their own: after such a merge the lowest rank may fall.
+        self.restless = np.zeros(max(ranks.values(), default=0) + 1, bool)
+        keys, values = self.keys[:-1], self.values[:-1]
+        for part in (keys >> 20, keys & ((1 << 20) - 1)):
+            self.restless[part[part > values]] = True
+        joined = np.frombuffer(b"".join(ranks), np.uint8)
+        ends = np.cumsum([len(t) for t in ranks])[:-1] - 1
+        inner = np.ones(max(len(joined) - 1, 0), bool)
+        inner[ends[ends < len(inner)]] = False
+        #: Which pairs of bytes stand beside each other in some token.
+        self.beside = np.zeros((256, 256), bool)
+        self.beside[joined[:-1][inner], joined[1:][inner]] = True
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -56,18 +69,25 @@ class Merges:
     def counts(self, tokens: list[bytes]) -> np.ndarray:
         """Symbols that survive in each sequence of bytes."""
         lengths = np.array([len(t) for t in tokens], np.int64)
-        out = np.minimum(lengths, 1)
-        for i in np.flatnonzero(lengths > LONG):
-            out[i] = self.long(tokens[i])
-        live = np.flatnonzero((lengths > 1) & (lengths <= LONG))
-        if not len(live):
-            return out
-        symbols = self.byte[np.frombuffer(b"".join([tokens[i] for i in live]), np.uint8)]
-        size = lengths[live]
-        first = np.cumsum(size) - size
+        raw = np.frombuffer(b"".join(tokens), np.uint8)
+        if not len(raw):
+            return np.zeros(len(tokens), np.int64)
+        cut = np.ones(len(raw), bool)
+        cut[1:] = ~self.beside[raw[:-1], raw[1:]]
+        at = np.cumsum(lengths) - lengths
+        cut[at[lengths > 0]] = True
+        first = np.flatnonzero(cut)
+        parts = self._merge(self.byte[raw], first, np.diff(first, append=len(raw)))
+        total = np.concatenate([[0], np.cumsum(parts)])
+        return total[np.searchsorted(first, at + lengths)] - total[np.searchsorted(first, at)]
+
+    def _merge(self, symbols: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Symbols that survive in each of the sequences that lie one after the other."""
+        out = size.copy()
         rank = np.full(len(symbols), _NONE)
         rank[:-1] = self.rank(symbols[:-1], symbols[1:])
         rank[first + size - 1] = _NONE
+        live = np.arange(len(size))
         while len(live):
             lowest = np.minimum.reduceat(rank, first)
             go = lowest < _NONE
@@ -81,45 +101,49 @@ class Merges:
                 first = np.cumsum(size) - size
             places = np.flatnonzero(rank == np.repeat(lowest, size))
             owner = np.searchsorted(first, places, "right") - 1
-            leftmost = np.ones(len(places), bool)
-            leftmost[1:] = owner[1:] != owner[:-1]
-            at = places[leftmost]
-            last = first + size - 1
-            symbols[at] = lowest
+            # of places that overlap (a run of one symbol) every second one from the left
+            run = np.ones(len(places), bool)
+            run[1:] = places[1:] != places[:-1] + 1
+            begin = np.flatnonzero(run)
+            inside = np.arange(len(places)) - np.repeat(begin, np.diff(begin, append=len(places)))
+            places, owner = places[inside % 2 == 0], owner[inside % 2 == 0]
+            at = self._before_lower(symbols, lowest, first, first + size - 1, places, owner)
+            at, owner = places[at], owner[at]
+            symbols[at] = lowest[owner]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
-            after, inner = at + 2, at + 2 <= last
-            rank[at] = _NONE
-            rank[at[inner]] = self.rank(lowest[inner], symbols[after[inner]])
-            head = at > first
-            rank[at[head] - 1] = self.rank(symbols[at[head] - 1], lowest[head])
+            size = size - np.bincount(owner, minlength=len(size))
+            moved = np.cumsum(keep)[at] - 1
             symbols, rank = symbols[keep], rank[keep]
-            size = size - 1
             first = np.cumsum(size) - size
+            last = first + size - 1
+            inner = moved < last[owner]
+            rank[moved] = _NONE
+            rank[moved[inner]] = self.rank(symbols[moved[inner]], symbols[moved[inner] + 1])
+            head = moved > first[owner]
+            before = moved[head] - 1
+            rank[before] = self.rank(symbols[before], symbols[moved[head]])
         return out
 
-    def long(self, token: bytes) -> int:
-        """The same count for one long sequence, by a heap and a linked list."""
-        symbols = [int(self.byte[b]) for b in token]
-        n, pair = len(symbols), self.pair
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i) for i in range(n - 1) if (r := pair.get(symbols[i] << 20 | symbols[i + 1])) is not None]
-        heapq.heapify(heap)
-        left = n
-        while heap:
-            r, i = heapq.heappop(heap)
-            if symbols[i] < 0 or (j := after[i]) >= n or pair.get(symbols[i] << 20 | symbols[j]) != r:
-                continue
-            symbols[i], symbols[j] = r, -1
-            left -= 1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (x := pair.get(r << 20 | symbols[k])) is not None:
-                    heapq.heappush(heap, (x, i))
-            if (h := before[i]) >= 0 and (x := pair.get(symbols[h] << 20 | r)) is not None:
-                heapq.heappush(heap, (x, h))
-        return left
+    def _before_lower(self, symbols: np.ndarray, lowest: np.ndarray, first: np.ndarray, last: np.ndarray, places: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Which places are merged before a pair of a lower rank comes up in their sequence: all up to the first that makes one."""
+        doubt = np.flatnonzero(self.restless[lowest[owner]])
+        out = np.ones(len(places), bool)
+        if not len(doubt):
+            return out
+        at, of = places[doubt], owner[doubt]
+        new = lowest[of]
+        beside = np.zeros(len(doubt), bool)
+        beside[1:] = at[1:] == at[:-1] + 2
+        left = np.where(beside, new, symbols[np.maximum(at - 1, 0)])
+        right = symbols[np.minimum(at + 2, len(symbols) - 1)]
+        lower = ((at > first[of]) & (self.rank(left, new) < new)) | ((at + 2 <= last[of]) & (self.rank(new, right) < new))
+        before = np.cumsum(lower) - lower
+        begin = np.ones(len(of), bool)
+        begin[1:] = of[1:] != of[:-1]
+        start = np.flatnonzero(begin)
+        out[doubt] = before == np.repeat(before[start], np.diff(start, append=len(of)))
+        return out
 
 
 def ranks_of(data: bytes) -> dict[bytes, int]:
