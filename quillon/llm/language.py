@@ -3,10 +3,13 @@
 Each language has a model of hashed byte trigrams, counted over all documents that
 carry its name. A document's words are the units: a word's likelihood in a language
 is the product of those of its trigrams. Expectation-maximisation gives the shares
-of the languages, and a penalised likelihood (penalty * log(words) for each further
-language) the set: from all languages, that of the smallest share goes as long as the
-penalised likelihood grows. Where one language alone is within one penalty of all
-together, no set of two or more can be better and the search ends at once.
+of the languages: a document's rounds go on until its log-likelihood is proven to be
+within GAP of the greatest one (the likelihood is concave in the shares, so that its
+gradient bounds what is left), however many that takes. A penalised likelihood
+(penalty * log(words) for each further language) gives the set: from all languages,
+that of the smallest share goes as long as the penalised likelihood grows. Where the
+bound shows that all languages together are within one penalty of one alone, no set of
+two or more can be better and the rounds end at once.
 
 Null texts, and texts without words, have null results. Documents without a language
 name count for no model but are analysed. Without any named document all is null.
@@ -24,6 +27,8 @@ from .common import append, field
 
 BITS = 15
 PENALTY = 1.5
+#: What the log-likelihood of a document may fall short of its maximum, and for each of its words (rounding).
+GAP, GAP_A_WORD = 0.01, 1e-6
 
 _CLASS = np.full(256, 32, np.uint32)
 _CLASS[97:123] = np.arange(97, 123)
@@ -84,21 +89,38 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = B
     return names, np.log(counts / counts.sum(0, keepdims=True)).astype(np.float32)
 
 
-def mixture(like: np.ndarray, offsets: np.ndarray, allowed: np.ndarray, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the allowed languages and log-likelihood of each document; like: scaled likelihoods of its words."""
+def mixture(like: np.ndarray, offsets: np.ndarray, allowed: np.ndarray, start: np.ndarray, enough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the allowed languages and log-likelihood of each document; like: scaled likelihoods of its words.
+
+    enough: log-likelihoods; a document that is proven not to get above its own needs no further rounds.
+    """
     counts = np.diff(offsets)
-    share = start * allowed
+    share = np.where(allowed, np.maximum(start, 1e-9), 0.0)
     share /= share.sum(1, keepdims=True)
-    for _ in range(rounds):
-        r = like * np.repeat(share.astype(np.float32), counts, axis=0)
-        r /= r.sum(1, keepdims=True) + np.float32(1e-30)
-        share = np.add.reduceat(r, offsets[:-1], axis=0, dtype=np.float64) / counts[:, None]
-        share /= share.sum(1, keepdims=True)
-    total = np.log((like * np.repeat(share.astype(np.float32), counts, axis=0)).sum(1) + np.float32(1e-30))
-    return share, np.add.reduceat(total, offsets[:-1], dtype=np.float64)
-
-
-def select(like: np.ndarray, offsets: np.ndarray, penalty: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    total = np.zeros(len(counts))
+    gap = GAP + GAP_A_WORD * counts
+    live, rows, to = np.arange(len(counts)), like, offsets
+    while len(live):
+        mixed = (rows * np.repeat(share[live].astype(np.float32), counts[live], axis=0)).sum(1) + np.float32(1e-30)
+        now = np.add.reduceat(np.log(mixed), to[:-1], dtype=np.float64)
+        # the gradient of the mean log-likelihood: 1 for a language in its place, more for one that is worth more
+        gain = np.add.reduceat(rows / mixed[:, None], to[:-1], axis=0, dtype=np.float64) / counts[live][:, None]
+        left = counts[live] * np.maximum(np.where(allowed[live], gain, 0).max(1) - 1, 0)
+        done = left <= gap[live]
+        if enough is not None:
+            done |= now + left <= enough[live]
+        total[live] = now
+        go = ~done
+        if not go.all():
+            rows = rows[np.repeat(go, counts[live])]
+            live, gain = live[go], gain[go]
+            to = np.concatenate([[0], np.cumsum(counts[live])])
+        share[live] *= gain
+        share[live] /= share[live].sum(1, keepdims=True)
+    return share, total
+
+
+def select(like: np.ndarray, offsets: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Shares (0 for languages outside the selected set) and penalised log-likelihood of documents of one word at least."""
     n, k = len(offsets) - 1, like.shape[1]
     counts = np.diff(offsets)
@@ -111,13 +133,14 @@ def select(like: np.ndarray, offsets: np.ndarray, penalty: float, rounds: int =
     if k < 2:
         return share, best
     allowed = np.ones((n, k), bool)
-    full, total = mixture(like, offsets, allowed, np.full((n, k), 1 / k), rounds)
+    full, total = mixture(like, offsets, allowed, np.full((n, k), 1 / k), best + cost)
     live = np.flatnonzero(total - cost > best)
     allowed, now, total = allowed[live], full[live], total[live]
     size = np.full(len(live), k)
     while len(live):
-        better = total - cost[live] * (size - 1) > best[live]
-        share[live[better]], best[live[better]] = now[better], (total - cost[live] * (size - 1))[better]
+        value = total - cost[live] * (size - 1)
+        better = value > best[live]
+        share[live[better]], best[live[better]] = now[better], value[better]
         go = size > 2
         live, allowed, now, size = live[go], allowed[go], now[go], size[go] - 1
         if not len(live):
@@ -125,7 +148,7 @@ def select(like: np.ndarray, offsets: np.ndarray, penalty: float, rounds: int =
         least = np.where(allowed, now, np.inf).argmin(1)
         allowed[np.arange(len(live)), least] = False
         to = np.concatenate([[0], np.cumsum(counts[live])])
-        now, total = mixture(like[arrays.ragged_positions(offsets[live], counts[live])], to, allowed, np.maximum(now, 1e-3), rounds)
+        now, total = mixture(like[arrays.ragged_positions(offsets[live], counts[live])], to, allowed, np.maximum(now, 1e-3))
     return share, best
 
 
