@@ -2,64 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors reach. Where it is unset, in local mode only, a folder of this machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..sources import storage
+from ..sources.storage import scratch as folder
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again; it goes when the program ends."""
+    """df written as Parquet to the shared folder and read again: its lineage is cut. It goes when it is released, or when the program ends."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.quillon_path = path
+    return out
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, for tables that go when the program ends."""
-    path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove)
-    _written.append((spark, path))
-    return path
 
-
-def _remove() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session ended before
-            return
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that no plan reads any more."""
+    for t in tables:
+        storage.delete(t.sparkSession, t.quillon_path)
 
 
 def field(df: DataFrame, name: str):
@@ -67,6 +34,14 @@ def field(df: DataFrame, name: str):
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def only(df: DataFrame, **names: str) -> DataFrame:
     """df with the named columns alone, under the names of the keywords: no other column can clash."""
     return df.select(*[field(df, name).alias(key) for key, name in names.items()])
@@ -88,6 +63,24 @@ def smallest(df: DataFrame, n: int, *names: str) -> DataFrame:
         share *= 4
 
 
+def packed_counts(df: DataFrame, counted: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], size: int) -> np.ndarray:
+    """Sums over df of sparse counts (places, values) below size; size numbers at most come to the driver, in a few packed rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, n in counted(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], names=["at", "n"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype("<i4").tobytes()], pa.binary()), pa.array([batch.column(1).to_numpy().astype("<i8").tobytes()], pa.binary())], names=["at", "n"])
+
+    out = np.zeros(size, np.int64)
+    for r in df.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).mapInArrow(pack, "at binary, n binary").toLocalIterator():
+        out[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i8")
+    return out
+
+
 def append(df: DataFrame, function: Callable[[pa.RecordBatch], tuple[pa.Array | None, list[pa.Array]]], fields: str | T.StructType, needs: Iterable[str] = (), drop: Iterable[str] = ()) -> DataFrame:
     """df with further columns, made from each Arrow batch; function returns a mask of rows to keep (None: all) and the new columns.
 

@@ -1,15 +1,16 @@
 """Secret scans with an incremental ledger of blobs.
 
 Every version of a file is addressed by the SHA-256 of its text. The ledger holds the
-(blob, rule, rule version) pairs already scanned and their findings; a scan reads a
-blob once, however many paths have it, under only those rules that have not seen it,
-and findings are joined back to every path that holds the blob. All of it runs in the
-JVM: hashing, regular expressions (those of the rules, with a plain substring test
-first where a rule names one) and joins.
+(blob, rule, rule version) pairs already scanned and their findings. A scan meets the
+ledger with hashes alone; only then one path of each blob that some rule has not seen
+brings its text, which is read under those rules, and findings are joined back to every
+path that holds the blob. Texts that were seen don't move and aren't read again. All of
+it runs in the JVM: hashing, regular expressions (those of the rules, with a plain
+substring test first where a rule names one) and joins.
 
 Null texts are no blob and have no findings; empty texts are a blob without findings.
-Repeated rows are repeated paths: each gets the findings. Findings carry the SHA-256
-of the secret, never the secret.
+Repeated rows are repeated paths: each gets the findings. An empty table leaves the
+ledger as it is. Findings carry the SHA-256 of the secret, never the secret.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import field
+from ..sources import storage
+from .common import field, free, release, table
 
 
 @dataclass(frozen=True)
@@ -105,52 +107,73 @@ class Ledger:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        if not storage.exists(self.spark, f"{self.path}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/*")
 
     def pairs(self) -> DataFrame:
-        """(blob_id, rule_id, rule_version, run) scanned so far."""
-        return self._read("pairs", "blob_id string, rule_id string, rule_version int, run string")
+        """(blob_id, rules, run): the pairs scanned so far, the rules of a blob as an array of rule@version."""
+        return self._read("pairs", "blob_id string, rules array<string>, run string")
 
     def found(self) -> DataFrame:
         """Findings of the runs that ended."""
         all_found = self._read("findings", "blob_id string, rule_id string, rule_version int, occurrence int, secret_sha256 string, run string")
         return all_found.join(self.pairs().select("run").distinct(), "run", "left_semi").drop("run")
 
-    def unseen(self, versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """Blobs with a rule that has not seen them: (__blob, __text, __todo)."""
-        seen = self.pairs().groupBy(F.col("blob_id").alias("__blob")).agg(F.collect_set(F.concat_ws("@", "rule_id", F.col("rule_version").cast("string"))).alias("__seen"))
-        keys = F.array(*[F.lit(r.key) for r in rules])
-        todo = F.array_except(keys, F.coalesce("__seen", F.array().cast("array<string>")))
-        return _blobs(versions, text).groupBy("__blob").agg(F.first("__text").alias("__text")).join(seen, "__blob", "left").withColumn("__todo", todo).where(F.size("__todo") > 0).drop("__seen")
+    def unseen(self, versions: DataFrame, text: str = "text", path: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Blobs with a rule that has not seen them: (__blob, __at, __todo), the last the rules, __at the hash of one of the blob's paths."""
+        seen = self.pairs().groupBy(F.col("blob_id").alias("__blob")).agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("__seen"))  # rule versions of one blob
+        blobs = _paths(versions, text, path).groupBy("__blob").agg(F.min("__at").alias("__at"))
+        todo = F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.coalesce("__seen", F.array().cast("array<string>")))
+        return blobs.join(seen, "__blob", "left").withColumn("__todo", todo).where(F.size("__todo") > 0).drop("__seen")
+
+    def texts(self, versions: DataFrame, todo: DataFrame, text: str = "text", path: str = "doc_id") -> DataFrame:
+        """todo with the __text of its blobs, each from its one path (once for each row that repeats both)."""
+        return _paths(versions, text, path, "__text").join(todo, ["__blob", "__at"])
 
     def scan(self, versions: DataFrame, text: str = "text", path: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Scans what is unseen and gives the findings of all versions under these rules, old and new."""
         run = uuid.uuid4().hex
-        todo = self.unseen(versions, text, rules)
-        findings(todo, rules).withColumn("run", F.lit(run)).write.parquet(f"{self.path}/findings/{run}")
-        names = {r.key: r for r in rules}
-        pair = F.create_map(*[x for k, r in names.items() for x in (F.lit(k), F.struct(F.lit(r.name).alias("rule_id"), F.lit(r.version).alias("rule_version")))])
-        (
-            todo.select("__blob", F.explode("__todo").alias("k"))
-            .select(F.col("__blob").alias("blob_id"), pair[F.col("k")].alias("p"))
-            .select("blob_id", "p.rule_id", "p.rule_version", F.lit(run).alias("run"))
-            .write.parquet(f"{self.path}/pairs/{run}")
-        )
+        todo = table(self.unseen(versions, text, path, rules), "unseen")
+        if not todo.isEmpty():
+            found = findings(self.texts(versions, todo, text, path), rules).distinct()
+            found.withColumn("run", F.lit(run)).write.parquet(f"{self.path}/findings/{run}")
+            todo.select(F.col("__blob").alias("blob_id"), F.col("__todo").alias("rules"), F.lit(run).alias("run")).write.parquet(f"{self.path}/pairs/{run}")
+        release(todo)
         current = F.concat_ws("@", "rule_id", F.col("rule_version").cast("string")).isin([r.key for r in rules])
         return to_paths(versions, self.found().where(current), text, path)
 
 
+def _paths(versions: DataFrame, text: str, path: str, *more: str) -> DataFrame:
+    """(__blob, __at: a hash of the path, …) of the rows with a text."""
+    rows = versions.select(field(versions, path).alias("__path"), field(versions, text).alias("__text")).where("__text is not null")
+    return rows.select(blob_id(F.col("__text")).alias("__blob"), F.xxhash64("__path").alias("__at"), *more)
+
+
+def redact_found(df: DataFrame, found: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """redact() of the rows whose blob has a finding (of scan(), under the same rules); the others stay as they are.
+
+    The rows are those of redact(): a text without a finding has nothing to replace.
+    """
+    of, has = free(df, "__blob_of"), free(df, "__found")
+    blobs = table(found.select(F.col("blob_id").alias("__blob_id")).distinct().withColumn(has, F.lit(True)), "found")
+    marked = df.select("*", blob_id(field(df, text)).alias(of))
+    marked = marked.join(blobs, marked[of] == blobs["__blob_id"], "left")
+    out = F.when(marked[has], redacted(field(df, text), rules)).otherwise(field(df, text))
+    return marked.select(*[(out if c == text else field(df, c)).alias(c) for c in df.columns])
+
+
+def redacted(value: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A text with each secret replaced by [its rule's name]; null stays null."""
+    for r in rules:
+        changed = F.regexp_replace(value, F.lit(r.pattern), F.lit(f"[{r.name}]"))
+        value = changed if r.literal is None else F.when(F.contains(value, F.lit(r.literal)), changed).otherwise(value)
+    return value
+
+
 def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with each secret in the text replaced by [its rule's name]. Null stays null; other columns are kept."""
-    out = field(df, text)
-    for r in rules:
-        changed = F.regexp_replace(out, F.lit(r.pattern), F.lit(f"[{r.name}]"))
-        out = changed if r.literal is None else F.when(F.contains(out, F.lit(r.literal)), changed).otherwise(out)
-    return df.withColumn(text, out)
+    return df.withColumn(text, redacted(field(df, text), rules))
 
 
 def scan_sql(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
