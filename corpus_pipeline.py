@@ -3,7 +3,7 @@
 1. quality: documents whose probability of a good grade is under one half go.
 2. near duplicates: one document of each group stays.
 3. decontamination: documents with a passage of a benchmark item go.
-4. secrets: secrets in the texts are replaced by the names of their rules.
+4. secrets: a ledger scans the blobs, and the secrets it finds are replaced by the names of their rules.
 5. tokens: SentencePiece ids of the texts, checked by decoding.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, neardup, quality, secrets, sentencepiece
-from quillon.llm.common import table
+from quillon.llm.common import folder, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    found = secrets.Ledger(spark, folder(spark, "ledger")).scan(docs)
+    return secrets.redact_found(docs, found).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
