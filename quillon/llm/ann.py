@@ -1,20 +1,27 @@
-"""Nearest neighbours of every vector, by additive quantisation and exact reranking.
+"""Nearest neighbours by additive quantisation, inverted lists and exact reranking.
 
 A vector is approximated by a sum of one full-dimensional codeword from each of BOOKS
 codebooks, trained on residuals (k-means, level by level) of a bounded sample of the
-vectors; encoding is a beam search over the levels. A vector keeps its codes and the
-squared norm of its approximation. For a query, lookup tables of its products with all
-codewords give the approximate distances to all codes; the shortlist is then ranked by
-exact distance. The shortlist's length is the least with which held-out queries, looked
-up against all vectors, find a share of recall of their exact neighbours.
-
-Vectors come in blocks; every block of queries meets every block of codes in a task of
-its own, so nothing grows with the data but the number of such pairs, which is
-quadratic: without structure in the vectors a search that prunes loses neighbours.
-
-Null vectors, and vectors of another length than the first book's, have no neighbours
-and are none. A vector is not its own neighbour, but an equal row is. Equal distances:
-the smaller id first. Fewer than k others: all of them.
+vectors (SAMPLE rows, SAMPLE_BYTES); encoding is a beam search over the levels, and every
+vector is encoded. It keeps its codes and the squared norm of its approximation, in the
+list of its first codeword (of its first two from LISTS_OF_TWO vectors on).
+
+A query probes the lists with the nearest words. In a list, lookup tables of its products
+with all codewords give the approximate distances to all codes; those within a margin of
+its k-th exact distance so far are ranked by exact distance. How many lists are probed,
+and the margin, are the least with which held-out queries, compared with all vectors,
+keep a share of recall of their exact neighbours.
+
+Codes lie in blobs of one list each. Blobs of a large list are spread over parts of
+PART vectors, about, which all its queries visit: a list that holds a third of all
+vectors is so many tasks. Blobs and queries meet in a join on list and part; each part
+gives a query its k best at most. Vectors of each length are an index of their own;
+lengths of at most EXACT vectors are compared exactly.
+
+Ids are integers; other types are refused. Null ids, null vectors and those with null,
+NaN or infinite elements have no neighbours and are none. A row is not its own
+neighbour, but an equal row is. Equal distances: the smaller id first, also where more
+rows than k are equal. Fewer than k others: all of them.
 """
 
 from __future__ import annotations
@@ -24,15 +31,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import field, smallest, table
 
 BOOKS, WORDS, BEAM = 16, 256, 4
-#: The most vectors to train codebooks on, and of queries to set the shortlist by.
-SAMPLE, HELD_OUT = 65_536, 128
-RECALL, BLOCK = 0.97, 8192
+#: The most vectors, and bytes of them, to train codebooks on; queries to set probes and margin by.
+SAMPLE, SAMPLE_BYTES, HELD_OUT = 65_536, 1 << 26, 128
+#: Share of the exact neighbours that is kept.
+RECALL = 0.97
+#: Vectors in a blob at most, and in a part of a list, about.
+BLOB, PART = 4096, 65_536
+#: Queries in a blob at most.
+ASKED = 512
+#: Vectors from which on lists are those of two codewords; vectors of one length that are compared exactly.
+LISTS_OF_TWO, EXACT = 4_000_000, 1024
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -119,104 +134,251 @@ class Quantiser:
         return out
 
 
-def shortlist_and_rank(quantiser: Quantiser, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, vectors: np.ndarray, ids: np.ndarray, length: int, k: int, skip: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: the k nearest rows of a shortlist and their exact squared distances; skip: a row for each query to leave out."""
-    length = min(length, len(codes))
-    norm = (vectors * vectors).sum(1)
+    def lists(self, two: bool) -> np.ndarray:
+        """The words of the lists."""
+        return (self.books[0][:, None] + self.books[1][None]).reshape(-1, self.books.shape[2]) if two else self.books[0]
+
+    def list_of(self, codes: np.ndarray, two: bool) -> np.ndarray:
+        return codes[:, 0].astype(np.int64) * self.books.shape[1] + codes[:, 1] if two else codes[:, 0].astype(np.int64)
+
+
+def exact_distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    d = vectors.astype(np.float64) - query.astype(np.float64)
+    return np.einsum("ij,ij->i", d, d)
+
+
+class Best:
+    """The k nearest rows so far of each of some queries: squared distances, ids, where the rows are."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, {}
+
+    def least(self, query) -> float:
+        """The k-th distance; infinite with fewer."""
+        own = self.rows.get(query)
+        return np.inf if own is None or len(own[0]) < self.k else float(own[0][-1])
+
+    def add(self, query, distance: np.ndarray, ids: np.ndarray) -> None:
+        own = self.rows.get(query)
+        if own is not None:
+            distance, ids = np.concatenate([own[0], distance]), np.concatenate([own[1], ids])
+        order = np.lexsort((ids, distance))[: self.k]
+        self.rows[query] = (distance[order], ids[order])
+
+
+def rank(best: Best, names: list, queries: np.ndarray, quantiser: Quantiser, codes: np.ndarray, norms: np.ndarray, vectors: np.ndarray, ids: np.ndarray, margin: float, skip: np.ndarray) -> None:
+    """Adds the rows of a blob to the best of its queries; skip: the query's own row in the blob, or -1."""
+    k, length = best.k, np.einsum("ij,ij->i", queries, queries)
     for a in range(0, len(queries), 128):
-        q = queries[a : a + 128]
-        near = quantiser.approximate(q, codes, norms)
-        for i in range(len(q)):
-            if skip is not None and skip[a + i] >= 0:
-                near[skip[a + i], i] = np.inf
-        lists = np.argpartition(near, length - 1, axis=0)[:length].T if length < len(codes) else np.tile(np.arange(len(codes)), (len(q), 1))
-        for i, rows in enumerate(lists):
-            if skip is not None:
-                rows = rows[rows != skip[a + i]]
-            exact = np.maximum(norm[rows] - 2 * (vectors[rows] @ q[i]) + q[i] @ q[i], 0)
-            best = np.lexsort((ids[rows], exact))[:k]
-            yield a + i, rows[best], exact[best]
-
-
-def neighbours(df: DataFrame, vector: str = "embedding", key: str = "vec_id", k: int = 10, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK, books: int = BOOKS, words: int = WORDS) -> DataFrame:
-    """(key, rank, neighbour, distance): the k nearest other rows of each row, by Euclidean distance."""
-    spark = df.sparkSession
+        near = quantiser.approximate(queries[a : a + 128], codes, norms) + length[None, a : a + 128]
+        for i in range(near.shape[1]):
+            name, query, own, column = names[a + i], queries[a + i], skip[a + i], near[:, i]
+            if own >= 0:
+                column[own] = np.inf
+            done = np.zeros(0, np.int64)
+            if best.least(name) == np.inf:
+                done = np.argpartition(column, k - 1)[:k] if k < len(column) else np.arange(len(column))
+                done = done[done != own]
+                best.add(name, exact_distances(vectors[done], query), ids[done])
+            rows = np.flatnonzero(column <= best.least(name) + margin)
+            rows = rows[rows != own] if not len(done) else np.setdiff1d(rows[rows != own], done, assume_unique=True)
+            if len(rows):
+                best.add(name, exact_distances(vectors[rows], query), ids[rows])
+
+
+def neighbours(df: DataFrame, vector: str = "embedding", key: str = "vec_id", k: int = 10, where: str | Column | None = None, recall: float = RECALL, sample: int = SAMPLE, books: int = BOOKS, words: int = WORDS, exact: int = EXACT, part: int = PART) -> DataFrame:
+    """(key, rank, neighbour, distance): the k nearest other rows by Euclidean distance, of each row for which where holds (all without one)."""
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} isn't a column of integers")
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(field(df, key).cast("bigint").alias("__id"), field(df, vector).cast("array<float>").alias("__v")).where("__id is not null and __v is not null and size(__v) > 0 and not exists(__v, x -> x is null or isnan(x))")
-    empty = spark.createDataFrame([], f"`{key}` {kind}, rank int, neighbour bigint, distance double")
-    bounded = smallest(rows, sample, "__id", "__v").toPandas()
-    if not len(bounded):
-        return empty
-    d = len(bounded["__v"].iloc[0])
-    x = np.stack([v for v in bounded["__v"] if len(v) == d]).astype(np.float32)
-    quantiser = Quantiser.train(x, books, words)
-    sized = rows.where(F.size("__v") == d)
+    asks = F.lit(True) if where is None else F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
+    rows = df.select(field(df, key).cast("bigint").alias("__id"), field(df, vector).cast("array<float>").alias("__v"), asks.alias("__asks"))
+    rows = rows.where("__id is not null and __v is not null and size(__v) > 0 and not exists(__v, x -> x is null or isnan(x) or abs(x) = float('infinity'))")
+    counts = table(rows.groupBy(F.size("__v").alias("__d")).agg(F.count(F.lit(1)).alias("n")), "lengths")
+    few = counts.where(F.col("n") <= exact).select("__d")
+    out = rows.withColumn("__d", F.size("__v")).join(few, "__d").groupBy("__d").applyInArrow(_compared(k), _FOUND)  # exact rows at most in a group
+    for d, n in counts.where(F.col("n") > exact).collect():  # a row for each long list of vectors of one length
+        out = out.unionAll(_searched(rows.where(F.size("__v") == d), d, n, k, recall, sample, books, words, part))
+    return out.select(F.col("id").cast(kind).alias(key), "rank", "neighbour", "distance")
+
+
+_FOUND = "id bigint, rank int, neighbour bigint, distance double"
+
+
+def _found(ids: list[int], distances: list[np.ndarray], others: list[np.ndarray]) -> dict[str, pa.Array]:
+    size = [len(x) for x in distances]
+    join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
+    return {
+        "id": pa.array(np.repeat(np.array(ids, np.int64), size)),
+        "rank": pa.array(join([np.arange(1, n + 1) for n in size], np.int64).astype(np.int32)),
+        "neighbour": pa.array(join(others, np.int64).astype(np.int64)),
+        "distance": pa.array(np.sqrt(join(distances, np.float64))),
+    }
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, d)
+
+
+def _compared(k: int):
+    """The neighbours among a group of few vectors, exactly."""
+
+    def run(group: pa.Table) -> pa.Table:
+        x, ids, asks = _matrix(group.column("__v"), group.column("__d")[0].as_py()), group.column("__id").to_numpy(), group.column("__asks").to_numpy(zero_copy_only=False)
+        best = Best(k)
+        who = np.flatnonzero(asks)
+        for i in who:
+            others = np.delete(np.arange(len(x)), i)
+            best.add(i, exact_distances(x[others], x[i]), ids[others])
+        return pa.table(_found([int(ids[i]) for i in who], [best.rows[i][0] for i in who], [best.rows[i][1] for i in who]))
+
+    return run
+
+
+def _trained(rows: DataFrame, d: int, sample: int, books: int, words: int) -> tuple[Quantiser, np.ndarray]:
+    """Codebooks, fitted in one task, and the held-out queries."""
+    bounded = smallest(rows, min(sample, max(words, SAMPLE_BYTES // (4 * d))), "__id", "__v").select("__id", "__v")
+
+    def one(group: pa.Table) -> pa.Table:
+        x = _matrix(group.column("__v"), d)[np.argsort(group.column("__id").to_numpy(), kind="stable")]
+        held = x[:: max(1, len(x) // HELD_OUT)][:HELD_OUT]
+        return pa.table({"books": [Quantiser.train(x, books, words).books.tobytes()], "held": [np.ascontiguousarray(held).tobytes()]})
+
+    got = bounded.groupBy(F.lit(1).alias("__one")).applyInArrow(one, "books binary, held binary").first()
+    return Quantiser(np.frombuffer(got.books, np.float32).reshape(books, words, d).copy()), np.frombuffer(got.held, np.float32).reshape(-1, d).copy()
+
+
+def _nearest_lists(queries: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Squared distances of queries to the words of lists, less the queries' norms."""
+    return np.einsum("ij,ij->i", lists, lists)[None] - 2 * queries @ lists.T
+
+
+def _searched(rows: DataFrame, d: int, n: int, k: int, recall: float, sample: int, books: int, words: int, part: int) -> DataFrame:
+    quantiser, held = _trained(rows, d, sample, books, words)
+    two = n >= LISTS_OF_TWO
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blobs of a list each; up to 16 blobs' worth of vectors are held for that."""
+        parts: list[tuple] = []
+        held_rows = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids, x, asks, codes, norms = (np.concatenate(p) for p in zip(*parts, strict=True))
+            own = quantiser.list_of(codes, two)
+            order = np.argsort(own, kind="stable")
+            edges = np.flatnonzero(np.diff(own[order], prepend=-1))
+            out: list[list] = [[] for _ in range(7)]
+            for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+                for c in range(a, b, BLOB):
+                    r = order[c : min(c + BLOB, b)]
+                    for o, v in zip(out, (int(own[r[0]]), len(r), ids[r].tobytes(), x[r].tobytes(), codes[r].tobytes(), norms[r].tobytes(), asks[r].tobytes()), strict=True):
+                        o.append(v)
+            kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["list", "n", "ids", "vectors", "codes", "norms", "asks"])
+
         for batch in batches:
-            for a in range(0, batch.num_rows, block):
-                part = batch.slice(a, block)
-                ids = part.column(0).to_numpy()
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-                codes, norms = quantiser.encode(flat.reshape(-1, d))
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int64), flat, codes, norms)], names=["ids", "vectors", "codes", "norms"])
-
-    n = sized.count()
-    many = max(1, -(-n // block))
-    even = sized.repartition(many, "__id", "__v") if many > 1 else sized.coalesce(1)
-    blocks = table(even.mapInArrow(encode, "ids binary, vectors binary, codes binary, norms binary").withColumn("block", F.monotonically_increasing_id()), "codes")
-    length = _length(blocks, quantiser, x, d, k, recall, n)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for a in range(0, batch.num_rows, BLOB):
+                b = batch.slice(a, BLOB)
+                x = _matrix(b.column(1), d)
+                parts.append((b.column(0).to_numpy().astype(np.int64), x, b.column(2).to_numpy(zero_copy_only=False).astype(bool), *quantiser.encode(x)))
+                held_rows += len(x)
+                if held_rows >= 16 * BLOB:
+                    yield from flush()
+                    parts.clear()
+                    held_rows = 0
+        if parts:
+            yield from flush()
+
+    even = rows.select("__id", "__v", "__asks").repartition(max(8, -(-n // (16 * BLOB))))
+    blobs = table(even.mapInArrow(encode, "list bigint, n bigint, ids binary, vectors binary, codes binary, norms binary, asks binary").withColumn("blob", F.monotonically_increasing_id()), "codes")
+    probes, margin = _settings(blobs, quantiser, two, held, k, recall)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries of each list that they probe, in blobs."""
+        lists = quantiser.lists(two)
         for batch in batches:
             for row in batch.to_pylist():
-                q = np.frombuffer(row["queries"], np.float32).reshape(-1, d)
-                vectors, ids = np.frombuffer(row["vectors"], np.float32).reshape(-1, d), np.frombuffer(row["ids"], np.int64)
-                codes, norms = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["norms"], np.float32)
-                names = np.frombuffer(row["names"], np.int64)
-                own = np.arange(len(q)) if row["same"] else None
-                here = -(-length * len(ids) * 3 // (2 * n)) + k + 1
-                owner, near, exact = [], [], []
-                for i, at, dist in shortlist_and_rank(quantiser, q, codes, norms, vectors, ids, here, k, own):
-                    owner.append(np.full(len(at), i))
-                    near.append(ids[at])
-                    exact.append(dist)
-                owner = np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays([pa.array([row["query_block"]] * len(owner), pa.int64()), pa.array(owner.astype(np.int32)), pa.array(names[owner]), pa.array(np.concatenate(near)), pa.array(np.sqrt(np.concatenate(exact)).astype(np.float64))], names=["b", "i", "id", "neighbour", "distance"])
-
-    left = blocks.select(F.col("block").alias("query_block"), F.col("ids").alias("names"), F.col("vectors").alias("queries"))
-    met = left.crossJoin(blocks).withColumn("same", (F.col("query_block") == F.col("block"))).drop("block").repartition(max(many * many // 2, 1))
-    found = met.mapInArrow(pairs, "b bigint, i int, id bigint, neighbour bigint, distance double")
-    best = found.groupBy("b", "i", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("n"))
-    return best.select(F.col("id").cast(kind).alias(key), F.posexplode("n").alias("p", "x")).select(key, (F.col("p") + 1).alias("rank"), F.col("x.neighbour").alias("neighbour"), F.col("x.distance").alias("distance"))
-
-
-def _length(blocks: DataFrame, quantiser: Quantiser, x: np.ndarray, d: int, k: int, recall: float, n: int) -> int:
-    """The shortlist that held-out queries need over all vectors."""
-    queries = x[:: max(1, len(x) // HELD_OUT)][:HELD_OUT]
+                at = np.flatnonzero(np.frombuffer(row["asks"], bool))
+                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, d)
+                for a in range(0, len(at), ASKED):
+                    who = at[a : a + ASKED]
+                    far = _nearest_lists(x[who], lists)
+                    near = np.argpartition(far, probes - 1, axis=1)[:, :probes] if probes < len(lists) else np.tile(np.arange(len(lists)), (len(who), 1))
+                    owner, target = np.repeat(np.arange(len(who)), near.shape[1]), near.ravel()
+                    order = np.argsort(target, kind="stable")
+                    edges = np.flatnonzero(np.diff(target[order], prepend=-1))
+                    groups = [owner[order[b:c]] for b, c in zip(edges, np.append(edges[1:], len(order)), strict=True)]
+                    columns = ([int(target[order[b]]) for b in edges], [row["blob"]] * len(groups), [who[g].astype(np.int32).tobytes() for g in groups], [ids[who[g]].tobytes() for g in groups], [x[who[g]].tobytes() for g in groups])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["list", "from_blob", "at", "names", "queries"])
+
+    # a large list is spread over parts; all its queries visit each of them
+    parts = blobs.groupBy("list").agg(F.ceil(F.sum("n") / part).alias("parts"))  # a row for each list
+    spread = blobs.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("blob"), F.col("parts"))).select("list", "part", "blob", "ids", "vectors", "codes", "norms")
+    asked = blobs.select("blob", "ids", "vectors", "asks").mapInArrow(ask, "list bigint, from_blob bigint, at binary, names binary, queries binary")
+    asked = asked.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - F.lit(1).cast("bigint")))).drop("parts")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, place = Best(k), None
+
+        def flush() -> pa.RecordBatch:
+            names = list(best.rows)
+            size = [len(best.rows[q][0]) for q in names]
+            columns = (np.repeat(np.array([q[0] for q in names], np.int64), size), np.repeat(np.array([q[1] for q in names], np.int32), size), np.repeat(np.array([q[2] for q in names], np.int64), size), np.concatenate([best.rows[q][1] for q in names]), np.concatenate([best.rows[q][0] for q in names]))
+            best.rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["b", "i", "id", "neighbour", "distance"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if place != (row["list"], row["part"]) or len(best.rows) > 32 * ASKED:
+                    if best.rows:
+                        yield flush()
+                    place = (row["list"], row["part"])
+                ids = np.frombuffer(row["ids"], np.int64)
+                at, who = np.frombuffer(row["at"], np.int32), np.frombuffer(row["names"], np.int64)
+                skip = at.astype(np.int64) if row["blob"] == row["from_blob"] else np.full(len(at), -1)
+                names = [(row["from_blob"], int(i), int(q)) for i, q in zip(at, who, strict=True)]
+                rank(best, names, np.frombuffer(row["queries"], np.float32).reshape(-1, d), quantiser, np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["norms"], np.float32), np.frombuffer(row["vectors"], np.float32).reshape(-1, d), ids, margin, skip)
+        if best.rows:
+            yield flush()
+
+    found = spread.join(asked, ["list", "part"]).mapInArrow(meet, "b bigint, i int, id bigint, neighbour bigint, distance double")
+    best = found.groupBy("b", "i", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("n"))  # k for each part that a query visits
+    return best.select("id", F.posexplode("n").alias("p", "x")).select("id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.neighbour").alias("neighbour"), F.sqrt("x.distance").alias("distance"))
+
+
+def _settings(blobs: DataFrame, quantiser: Quantiser, two: bool, held: np.ndarray, k: int, recall: float) -> tuple[int, float]:
+    """How many lists to probe, and the margin of approximate distances, for held-out queries against all vectors."""
+    d, share = held.shape[1], 1 - (1 - recall) / 2
+    order = np.argsort(np.argsort(_nearest_lists(held, quantiser.lists(two)), axis=1), axis=1).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[np.ndarray]] = [[np.zeros(0)] * 3 for _ in held]
         for batch in batches:
             for row in batch.to_pylist():
-                vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, d)
-                near = quantiser.approximate(queries, np.frombuffer(row["codes"], np.uint8).reshape(len(vectors), -1), np.frombuffer(row["norms"], np.float32))
-                exact = (vectors * vectors).sum(1)[:, None] - 2 * vectors @ queries.T
-                best = np.argpartition(exact, min(k, len(exact) - 1), axis=0)[: k + 1]
-                grid = np.linspace(near.min(0), near.max(0), 4096)
-                counts = np.stack([np.searchsorted(np.sort(near[:, i]), grid[:, i], "right") for i in range(len(queries))])
-                for i in range(len(queries)):
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[pa.array([v.astype(np.float32).tobytes()], pa.binary()) for v in (exact[best[:, i], i], near[best[:, i], i], grid[:, i])], pa.array([counts[i].astype(np.int64).tobytes()], pa.binary())], names=["i", "exact", "near", "grid", "counts"])
+                x = np.frombuffer(row["vectors"], np.float32).reshape(-1, d)
+                exact = np.einsum("ij,ij->i", x, x)[:, None] - 2 * x @ held.T + np.einsum("ij,ij->i", held, held)[None]
+                near = None
+                for i in range(len(held)):
+                    limit = best[i][0][-1] if len(best[i][0]) > k else np.inf
+                    rows = np.flatnonzero(exact[:, i] < limit)
+                    if not len(rows):
+                        continue
+                    if len(rows) > k + 1:
+                        rows = rows[np.argpartition(exact[rows, i], k)[: k + 1]]
+                    if near is None:
+                        near = quantiser.approximate(held, np.frombuffer(row["codes"], np.uint8).reshape(len(x), -1), np.frombuffer(row["norms"], np.float32)) + np.einsum("ij,ij->i", held, held)[None]
+                    made = (exact[rows, i], near[rows, i], np.full(len(rows), order[i, row["list"]]))
+                    joined = [np.concatenate([a, b]) for a, b in zip(best[i], made, strict=True)]
+                    top = np.argsort(joined[0], kind="stable")[: k + 1]
+                    best[i] = [v[top] for v in joined]
+        size = [len(b[0]) for b in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(held)), size).astype(np.int32)), *[pa.array(np.concatenate([b[j] for b in best]).astype(np.float64)) for j in range(3)]], names=["i", "exact", "near", "place"])
 
     def merge(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        exact = np.concatenate([np.frombuffer(r["exact"], np.float32) for r in rows])
-        near = np.concatenate([np.frombuffer(r["near"], np.float32) for r in rows])
-        true = near[np.argsort(exact)[: k + 1]]
-        rank = np.zeros(len(true), np.int64)
-        for r in rows:
-            counts = np.concatenate([[0], np.frombuffer(r["counts"], np.int64)])
-            rank += counts[np.minimum(np.searchsorted(np.frombuffer(r["grid"], np.float32), true, "left") + 1, len(counts) - 1)]
-        return pa.table({"rank": pa.array(rank)})
-
-    ranks = blocks.select("vectors", "codes", "norms").mapInArrow(run, "i int, exact binary, near binary, grid binary, counts binary").groupBy("i").applyInArrow(merge, "rank bigint").toPandas()["rank"]
-    return int(min(n, max(k + 1, np.ceil(np.quantile(ranks.to_numpy(), recall)))))
+        exact, near, place = (group.column(c).to_numpy() for c in ("exact", "near", "place"))
+        top = np.argsort(exact, kind="stable")[1 : k + 1]  # the nearest is the query itself
+        return pa.table({"error": pa.array(near[top] - exact[top]), "place": pa.array(place[top])})
+
+    got = blobs.select("list", "vectors", "codes", "norms").mapInArrow(run, "i int, exact double, near double, place double").groupBy("i").applyInArrow(merge, "error double, place double").toPandas()  # k for each held-out query
+    return int(np.ceil(np.quantile(got["place"], share))) + 1, float(max(np.quantile(got["error"], share), 0.0))

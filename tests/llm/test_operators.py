@@ -580,28 +580,53 @@ def test_toxicity_edges(spark, odd, none):
 # 9
 
 
-def test_neighbours_recall(spark):
+def brute_neighbours(x, who, k=10):
+    d = ((x[who][:, None].astype(float) - x[None]) ** 2).sum(2)
+    d[np.arange(len(who)), who] = np.inf
+    return d, np.argsort(d, axis=1, kind="stable")[:, :k]
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_neighbours_recall(spark, clustered):
     rng = np.random.default_rng(13)
     centres = rng.normal(size=(20, 24))
-    x = (centres[rng.integers(20, size=700)] + 0.5 * rng.normal(size=(700, 24))).astype(np.float32)
+    x = ((centres[rng.integers(20, size=3000)] if clustered else 0) + 0.5 * rng.normal(size=(3000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in ann.neighbours(df, where="vec_id % 5 = 0", part=700, words=64, books=8).collect():  # lists in several parts
+        got.setdefault(r.vec_id, []).append((r.rank, r.neighbour, r.distance))
+    who = np.arange(0, 3000, 5)
+    d, want = brute_neighbours(x, who)
+    assert sorted(got) == who.tolist() and all(sorted(a for a, _, _ in v) == list(range(1, 11)) for v in got.values())
+    assert np.mean([len({n for _, n, _ in got[i]} & set(want[j].tolist())) / 10 for j, i in enumerate(who)]) >= 0.94
+    assert all(abs(dist**2 - d[j, n]) < 1e-4 for j, i in enumerate(who) for _, n, dist in got[i])
+
+
+def test_copies_of_a_vector_come_by_their_ids(spark):
+    """A third of all vectors are one; each of them has the smallest ids of the others."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    x[::3] = x[0]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
     got = {}
-    for r in ann.neighbours(df, block=256).collect():
+    for r in ann.neighbours(df, k=5, where="vec_id % 300 = 0", part=300, words=64, books=8).collect():
         got.setdefault(r.vec_id, []).append((r.rank, r.neighbour, r.distance))
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    want = np.argsort(d, axis=1)[:, :10]
-    assert len(got) == 700 and all(len(v) == 10 for v in got.values())
-    assert np.mean([len({n for _, n, _ in got[i]} & set(want[i].tolist())) / 10 for i in range(700)]) >= 0.9
-    assert all(abs(dist**2 - d[i, n]) < 1e-2 for i in range(0, 700, 50) for _, n, dist in got[i])
+    for i in range(0, 3000, 300):
+        assert sorted(got[i]) == [(k + 1, n, 0.0) for k, n in enumerate([n for n in range(0, 21, 3) if n != i][:5])]
 
 
 def test_neighbours_edges(spark):
-    rows = [(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (5, [3.0, 1.0]), (6, []), (5, [3.0, 1.0]), (7, [float("nan"), 1.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("names", F.lit(1))
+    rows = [(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (5, [3.0, 1.0]), (6, []), (5, [3.0, 1.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [4.0]), (None, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("names", F.lit(1)).withColumn("__d", F.lit(5))
     got = ann.neighbours(df, k=2).collect()
-    assert sorted((r.vec_id, r.rank, r.neighbour) for r in got) == [(1, 1, 2), (1, 2, 5), (2, 1, 1), (2, 2, 5), (5, 1, 5), (5, 1, 5), (5, 2, 1), (5, 2, 1)]
-    assert ann.neighbours(df.where("false")).count() == 0
+    want = [(1, 1, 2), (1, 2, 5), (2, 1, 1), (2, 2, 5), (4, 1, 9), (5, 1, 5), (5, 1, 5), (5, 2, 1), (5, 2, 1), (9, 1, 4)]
+    assert sorted((r.vec_id, r.rank, r.neighbour) for r in got) == want
+    # the same through an index of each length, whatever comes first
+    again = ann.neighbours(df, k=2, exact=0, books=2, words=4).collect()
+    assert sorted((r.vec_id, r.rank, r.neighbour) for r in again) == want
+    assert ann.neighbours(df.where("false")).count() == 0 == ann.neighbours(df, where="vec_id > 100").count()
+    with pytest.raises(ValueError, match="integers"):
+        ann.neighbours(df.withColumn("vec_id", F.lit("a")))
 
 
 # 10
