@@ -8,14 +8,14 @@ list of its first codeword (of its first two from LISTS_OF_TWO vectors on).
 
 A query probes the lists with the nearest words. In a list, lookup tables of its products
 with all codewords give the approximate distances to all codes; those within a margin of
-its k-th exact distance so far are ranked by exact distance. How many lists are probed,
+the exact distance of the k-th of them are ranked by exact distance. How many lists are probed,
 and the margin, are the least with which held-out queries, compared with all vectors,
 keep a share of recall of their exact neighbours.
 
-Codes lie in blobs of one list each. Blobs of a large list are spread over parts of
-PART vectors, about, which all its queries visit: a list that holds a third of all
-vectors is so many tasks. Blobs and queries meet in a join on list and part; each part
-gives a query its k best at most. Vectors of each length are an index of their own;
+A list lies in parts of PART vectors, about, one row each; the queries that probe a list
+lie in chunks of ASKED, about, and every chunk visits every part of its list: a list that
+holds a third of all vectors is so many rows. Parts and chunks meet in a join, and each
+pair gives a query its k best at most. Vectors of each length are an index of their own;
 lengths of at most EXACT vectors are compared exactly.
 
 Ids are integers; other types are refused. Null ids, null vectors and those with null,
@@ -42,10 +42,10 @@ BOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE, SAMPLE_BYTES, HELD_OUT = 65_536, 1 << 26, 128
 #: Share of the exact neighbours that is kept.
 RECALL = 0.97
-#: Vectors in a blob at most, and in a part of a list, about.
-BLOB, PART = 4096, 65_536
-#: Queries in a blob at most.
-ASKED = 512
+#: Vectors that are encoded together at most; vectors in a part of a list, about, and bytes of them.
+BLOB, PART, PART_BYTES = 4096, 65_536, 1 << 24
+#: Queries in a chunk, about.
+ASKED = 1024
 #: Vectors from which on lists are those of two codewords; vectors of one length that are compared exactly.
 LISTS_OF_TWO, EXACT = 4_000_000, 1024
 
@@ -142,48 +142,40 @@ class Quantiser:
         return codes[:, 0].astype(np.int64) * self.books.shape[1] + codes[:, 1] if two else codes[:, 0].astype(np.int64)
 
 
-def exact_distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    d = vectors.astype(np.float64) - query.astype(np.float64)
+def exact_distances(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Squared distances, row by row."""
+    d = vectors.astype(np.float64) - queries.astype(np.float64)
     return np.einsum("ij,ij->i", d, d)
 
 
-class Best:
-    """The k nearest rows so far of each of some queries: squared distances, ids, where the rows are."""
+def nearest_of(groups: np.ndarray, distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are the k nearest of their group, ordered by group, distance and id."""
+    order = np.lexsort((ids, distances, groups))
+    own = groups[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    place = np.arange(len(own)) - np.repeat(first, np.diff(first, append=len(own)))
+    return order[place < k]
 
-    def __init__(self, k: int):
-        self.k, self.rows = k, {}
 
-    def least(self, query) -> float:
-        """The k-th distance; infinite with fewer."""
-        own = self.rows.get(query)
-        return np.inf if own is None or len(own[0]) < self.k else float(own[0][-1])
-
-    def add(self, query, distance: np.ndarray, ids: np.ndarray) -> None:
-        own = self.rows.get(query)
-        if own is not None:
-            distance, ids = np.concatenate([own[0], distance]), np.concatenate([own[1], ids])
-        order = np.lexsort((ids, distance))[: self.k]
-        self.rows[query] = (distance[order], ids[order])
-
-
-def rank(best: Best, names: list, queries: np.ndarray, quantiser: Quantiser, codes: np.ndarray, norms: np.ndarray, vectors: np.ndarray, ids: np.ndarray, margin: float, skip: np.ndarray) -> None:
-    """Adds the rows of a blob to the best of its queries; skip: the query's own row in the blob, or -1."""
-    k, length = best.k, np.einsum("ij,ij->i", queries, queries)
+def rank(queries: np.ndarray, quantiser: Quantiser, codes: np.ndarray, norms: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, margin: float, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, rows and squared distances of the k nearest rows of each query, by query and rank; skip: the query's own row, or -1."""
+    out: list[list[np.ndarray]] = [[], [], []]
     for a in range(0, len(queries), 128):
-        near = quantiser.approximate(queries[a : a + 128], codes, norms) + length[None, a : a + 128]
-        for i in range(near.shape[1]):
-            name, query, own, column = names[a + i], queries[a + i], skip[a + i], near[:, i]
-            if own >= 0:
-                column[own] = np.inf
-            done = np.zeros(0, np.int64)
-            if best.least(name) == np.inf:
-                done = np.argpartition(column, k - 1)[:k] if k < len(column) else np.arange(len(column))
-                done = done[done != own]
-                best.add(name, exact_distances(vectors[done], query), ids[done])
-            rows = np.flatnonzero(column <= best.least(name) + margin)
-            rows = rows[rows != own] if not len(done) else np.setdiff1d(rows[rows != own], done, assume_unique=True)
-            if len(rows):
-                best.add(name, exact_distances(vectors[rows], query), ids[rows])
+        q, own = queries[a : a + 128], skip[a : a + 128]
+        near = quantiser.approximate(q, codes, norms) + np.einsum("ij,ij->i", q, q)[None]
+        has = np.flatnonzero(own >= 0)
+        near[own[has], has] = np.inf
+        lead = np.argpartition(near, k - 1, axis=0)[:k] if k < len(near) else np.tile(np.arange(len(near))[:, None], (1, len(q)))
+        exact = np.stack([exact_distances(vectors[row], q) for row in lead])
+        exact[np.isinf(np.take_along_axis(near, lead, 0))] = np.inf
+        rows, who = np.nonzero((near <= exact.max(0)[None] + margin) & np.isfinite(near))
+        for c in range(0, len(rows), 1 << 16):
+            r, w = rows[c : c + (1 << 16)], who[c : c + (1 << 16)]
+            for o, v in zip(out, (w + a, r, exact_distances(vectors[r], q[w])), strict=True):
+                o.append(v)
+    who, rows, distance = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+    top = nearest_of(who, distance, ids[rows], k)
+    return who[top], rows[top], distance[top]
 
 
 def neighbours(df: DataFrame, vector: str = "embedding", key: str = "vec_id", k: int = 10, where: str | Column | None = None, recall: float = RECALL, sample: int = SAMPLE, books: int = BOOKS, words: int = WORDS, exact: int = EXACT, part: int = PART) -> DataFrame:
@@ -205,15 +197,10 @@ def neighbours(df: DataFrame, vector: str = "embedding", key: str = "vec_id", k:
 _FOUND = "id bigint, rank int, neighbour bigint, distance double"
 
 
-def _found(ids: list[int], distances: list[np.ndarray], others: list[np.ndarray]) -> dict[str, pa.Array]:
-    size = [len(x) for x in distances]
-    join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-    return {
-        "id": pa.array(np.repeat(np.array(ids, np.int64), size)),
-        "rank": pa.array(join([np.arange(1, n + 1) for n in size], np.int64).astype(np.int32)),
-        "neighbour": pa.array(join(others, np.int64).astype(np.int64)),
-        "distance": pa.array(np.sqrt(join(distances, np.float64))),
-    }
+def _found(who: np.ndarray, ids: np.ndarray, others: np.ndarray, distance: np.ndarray) -> dict[str, pa.Array]:
+    first = np.flatnonzero(np.diff(who, prepend=-1))
+    place = np.arange(len(who)) - np.repeat(first, np.diff(first, append=len(who)))
+    return {"id": pa.array(ids[who].astype(np.int64)), "rank": pa.array((place + 1).astype(np.int32)), "neighbour": pa.array(others.astype(np.int64)), "distance": pa.array(np.sqrt(distance.astype(np.float64)))}
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
@@ -226,12 +213,12 @@ def _compared(k: int):
 
     def run(group: pa.Table) -> pa.Table:
         x, ids, asks = _matrix(group.column("__v"), group.column("__d")[0].as_py()), group.column("__id").to_numpy(), group.column("__asks").to_numpy(zero_copy_only=False)
-        best = Best(k)
         who = np.flatnonzero(asks)
-        for i in who:
-            others = np.delete(np.arange(len(x)), i)
-            best.add(i, exact_distances(x[others], x[i]), ids[others])
-        return pa.table(_found([int(ids[i]) for i in who], [best.rows[i][0] for i in who], [best.rows[i][1] for i in who]))
+        pairs = np.repeat(who, len(x)), np.tile(np.arange(len(x)), len(who))
+        pairs = [p[pairs[0] != pairs[1]] for p in pairs]
+        distance = exact_distances(x[pairs[1]], x[pairs[0]])
+        top = nearest_of(pairs[0], distance, ids[pairs[1]], k)
+        return pa.table(_found(pairs[0][top], ids, ids[pairs[1][top]], distance[top]))
 
     return run
 
@@ -301,52 +288,60 @@ def _searched(rows: DataFrame, d: int, n: int, k: int, recall: float, sample: in
             for row in batch.to_pylist():
                 at = np.flatnonzero(np.frombuffer(row["asks"], bool))
                 ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, d)
-                for a in range(0, len(at), ASKED):
-                    who = at[a : a + ASKED]
+                for a in range(0, len(at), BLOB // 8):
+                    who = at[a : a + BLOB // 8]
                     far = _nearest_lists(x[who], lists)
                     near = np.argpartition(far, probes - 1, axis=1)[:, :probes] if probes < len(lists) else np.tile(np.arange(len(lists)), (len(who), 1))
                     owner, target = np.repeat(np.arange(len(who)), near.shape[1]), near.ravel()
                     order = np.argsort(target, kind="stable")
                     edges = np.flatnonzero(np.diff(target[order], prepend=-1))
                     groups = [owner[order[b:c]] for b, c in zip(edges, np.append(edges[1:], len(order)), strict=True)]
-                    columns = ([int(target[order[b]]) for b in edges], [row["blob"]] * len(groups), [who[g].astype(np.int32).tobytes() for g in groups], [ids[who[g]].tobytes() for g in groups], [x[who[g]].tobytes() for g in groups])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["list", "from_blob", "at", "names", "queries"])
+                    columns = ([int(target[order[b]]) for b in edges], [row["blob"]] * len(groups), [len(g) for g in groups], [who[g].astype(np.int32).tobytes() for g in groups], [ids[who[g]].tobytes() for g in groups], [x[who[g]].tobytes() for g in groups])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["list", "blob", "n", "at", "names", "queries"])
 
     # a large list is spread over parts; all its queries visit each of them
-    parts = blobs.groupBy("list").agg(F.ceil(F.sum("n") / part).alias("parts"))  # a row for each list
-    spread = blobs.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("blob"), F.col("parts"))).select("list", "part", "blob", "ids", "vectors", "codes", "norms")
-    asked = blobs.select("blob", "ids", "vectors", "asks").mapInArrow(ask, "list bigint, from_blob bigint, at binary, names binary, queries binary")
-    asked = asked.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - F.lit(1).cast("bigint")))).drop("parts")
+    size = max(1, min(part, PART_BYTES // (4 * d)))
+    parts = blobs.groupBy("list").agg(F.ceil(F.sum("n") / size).alias("parts"))  # a row for each list
+    spread = blobs.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("blob"), F.col("parts")))
+    packed = spread.select("list", "part", "blob", "n", "ids", "vectors", "codes", "norms").groupBy("list", "part").applyInArrow(_packed("blob", "n", "ids", "vectors", "codes", "norms"), "list bigint, part bigint, blobs binary, counts binary, ids binary, vectors binary, codes binary, norms binary")
+    asked = table(blobs.select("blob", "ids", "vectors", "asks").mapInArrow(ask, "list bigint, blob bigint, n bigint, at binary, names binary, queries binary"), "asked")
+    chunks = asked.groupBy("list").agg(F.ceil(F.sum("n") / ASKED).alias("chunks"))  # a row for each list
+    chunked = asked.join(F.broadcast(chunks), "list").withColumn("part", F.pmod(F.xxhash64("blob"), F.col("chunks")))
+    chunked = chunked.select("list", "part", "blob", "n", "at", "names", "queries").groupBy("list", "part").applyInArrow(_packed("blob", "n", "at", "names", "queries"), "list bigint, part bigint, from_blobs binary, asked binary, at binary, names binary, queries binary")
+    visits = chunked.drop("part").join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - F.lit(1).cast("bigint")))).drop("parts")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, place = Best(k), None
-
-        def flush() -> pa.RecordBatch:
-            names = list(best.rows)
-            size = [len(best.rows[q][0]) for q in names]
-            columns = (np.repeat(np.array([q[0] for q in names], np.int64), size), np.repeat(np.array([q[1] for q in names], np.int32), size), np.repeat(np.array([q[2] for q in names], np.int64), size), np.concatenate([best.rows[q][1] for q in names]), np.concatenate([best.rows[q][0] for q in names]))
-            best.rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["b", "i", "id", "neighbour", "distance"])
-
         for batch in batches:
             for row in batch.to_pylist():
-                if place != (row["list"], row["part"]) or len(best.rows) > 32 * ASKED:
-                    if best.rows:
-                        yield flush()
-                    place = (row["list"], row["part"])
-                ids = np.frombuffer(row["ids"], np.int64)
-                at, who = np.frombuffer(row["at"], np.int32), np.frombuffer(row["names"], np.int64)
-                skip = at.astype(np.int64) if row["blob"] == row["from_blob"] else np.full(len(at), -1)
-                names = [(row["from_blob"], int(i), int(q)) for i, q in zip(at, who, strict=True)]
-                rank(best, names, np.frombuffer(row["queries"], np.float32).reshape(-1, d), quantiser, np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["norms"], np.float32), np.frombuffer(row["vectors"], np.float32).reshape(-1, d), ids, margin, skip)
-        if best.rows:
-            yield flush()
-
-    found = spread.join(asked, ["list", "part"]).mapInArrow(meet, "b bigint, i int, id bigint, neighbour bigint, distance double")
+                ids, names, at = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["names"], np.int64), np.frombuffer(row["at"], np.int32)
+                counts = np.frombuffer(row["counts"], np.int64)
+                start = dict(zip(np.frombuffer(row["blobs"], np.int64).tolist(), (np.cumsum(counts) - counts).tolist(), strict=True))
+                source = np.repeat(np.frombuffer(row["from_blobs"], np.int64), np.frombuffer(row["asked"], np.int64))
+                begin = np.array([start.get(b, -1) for b in source.tolist()], np.int64)
+                skip = np.where(begin >= 0, begin + at, -1)
+                vectors, queries = (np.frombuffer(row[c], np.float32).reshape(-1, d) for c in ("vectors", "queries"))
+                who, rows, distance = rank(queries, quantiser, np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["norms"], np.float32), vectors, ids, k, margin, skip)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (source[who], at[who], names[who], ids[rows], distance)], names=["b", "i", "id", "neighbour", "distance"])
+
+    found = packed.join(visits, ["list", "part"]).mapInArrow(meet, "b bigint, i int, id bigint, neighbour bigint, distance double")
     best = found.groupBy("b", "i", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("n"))  # k for each part that a query visits
     return best.select("id", F.posexplode("n").alias("p", "x")).select("id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.neighbour").alias("neighbour"), F.sqrt("x.distance").alias("distance"))
 
 
+def _packed(*columns: str):
+    """One row of a group: the binary columns joined, the numbers as arrays."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = {"list": group.column("list")[:1], "part": group.column("part")[:1]}
+        for c in columns:
+            values = group.column(c)
+            out[c] = pa.array([b"".join(values.to_pylist()) if pa.types.is_binary(values.type) else values.to_numpy().astype(np.int64).tobytes()], pa.binary())
+        return pa.table(list(out.values()), names=[{"blob": names[0], "n": names[1]}.get(c, c) for c in out])
+
+    names = ("from_blobs", "asked") if "queries" in columns else ("blobs", "counts")
+    return run
+
+
 def _settings(blobs: DataFrame, quantiser: Quantiser, two: bool, held: np.ndarray, k: int, recall: float) -> tuple[int, float]:
     """How many lists to probe, and the margin of approximate distances, for held-out queries against all vectors."""
     d, share = held.shape[1], 1 - (1 - recall) / 2
