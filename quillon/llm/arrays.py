@@ -145,7 +145,7 @@ class Words:
         longer = np.flatnonzero(self.ends - self.starts > size)
         start = self.starts[longer]
         texts = np.repeat(np.arange(len(self.counts)), self.counts)[longer]
-        return mix((self._total[start + size] - self._total[start]) * self._inverse[start] + np.uint64(size)), texts
+        return mix(mix((self._total[start + size] - self._total[start]) * self._inverse[start]) + np.uint64(size)), texts
 
     def ngrams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of runs of k words and their offsets by text; a text with fewer words has one, of all its words (none if it has no word)."""

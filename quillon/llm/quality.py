@@ -7,7 +7,8 @@ tail probability selects. The model is fitted in one task, by full-batch gradien
 on at most SAMPLE rated texts (those of the smallest hashes of their ids).
 
 Null and empty texts have null results and are not kept. Ratings that are null, and
-ratings of texts that are missing, take no part; with fewer than two grades among the
+ratings of texts that are missing, take no part; of the rows of one id the text of the
+smallest hash is rated; with fewer than two grades among the
 rest every text has that grade with certainty (and null without any).
 """
 
@@ -68,32 +69,38 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np
     return codes[keep].astype(np.int32), np.concatenate([[0], np.cumsum(many)])
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def loss(w: np.ndarray, theta: np.ndarray, grades: np.ndarray, index: np.ndarray, value: np.ndarray, offsets: np.ndarray, penalty: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood with its penalty, and its gradients by weights and by theta (the first threshold and the logarithms of the gaps)."""
+    many = len(theta)
+    s = arrays.sums(w[index] * value, offsets)
+    cuts = np.cumsum(np.concatenate([theta[:1], np.exp(theta[1:])]))
+    edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+    hi, lo = edge[grades + 1] - s, edge[grades] - s
+    p_hi, p_lo = np.where(np.isinf(hi), 1.0, _sigmoid(hi)), np.where(np.isinf(lo), 0.0, _sigmoid(lo))
+    p = np.maximum(p_hi - p_lo, 1e-9)
+    d_hi, d_lo = p_hi * (1 - p_hi) / p, p_lo * (1 - p_lo) / p
+    row = np.repeat(np.arange(len(grades)), np.diff(offsets))
+    gw = np.bincount(index, ((d_hi - d_lo) / len(grades))[row] * value, len(w)) + penalty * w
+    dcut = np.zeros(many)
+    np.add.at(dcut, np.minimum(grades, many - 1), np.where(grades < many, -d_hi, 0) / len(grades))
+    np.add.at(dcut, np.maximum(grades - 1, 0), np.where(grades > 0, d_lo, 0) / len(grades))
+    below = np.cumsum(dcut[::-1])[::-1]
+    return float(-np.log(p).mean() + penalty / 2 * (w @ w)), gw, np.concatenate([below[:1], below[1:] * np.exp(theta[1:])])
+
+
 def fit(grades: np.ndarray, index: np.ndarray, value: np.ndarray, offsets: np.ndarray, bits: int = BITS, steps: int = 150, penalty: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds for grades 0, 1, ... of rows of sparse features, by Adam on all rows."""
-    many = int(grades.max())
-    share = np.array([(grades <= k).mean() for k in range(many)]).clip(1e-3, 1 - 1e-3)
+    share = np.array([(grades <= k).mean() for k in range(int(grades.max()))]).clip(1e-3, 1 - 1e-3)
     t = np.log(share / (1 - share))
-    gaps = np.log(np.maximum(np.diff(t), 1e-2))
-    theta = np.concatenate([t[:1], gaps])
+    theta = np.concatenate([t[:1], np.log(np.maximum(np.diff(t), 1e-2))])
     w = np.zeros(1 << bits)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, theta)]
-    row = np.repeat(np.arange(len(grades)), np.diff(offsets))
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, steps + 1):
-        s = arrays.sums(w[index] * value, offsets)
-        cuts = np.cumsum(np.concatenate([theta[:1], np.exp(theta[1:])]))
-        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
-        hi, lo = edge[grades + 1] - s, edge[grades] - s
-        p_hi, p_lo = np.where(np.isinf(hi), 1.0, sigmoid(hi)), np.where(np.isinf(lo), 0.0, sigmoid(lo))
-        p = np.maximum(p_hi - p_lo, 1e-9)
-        d_hi, d_lo = p_hi * (1 - p_hi) / p, p_lo * (1 - p_lo) / p
-        ds = (d_hi - d_lo) / len(grades)  # of the negative log-likelihood
-        gw = np.bincount(index, ds[row] * value, 1 << bits) + penalty * w
-        dcut = np.zeros(many)
-        np.add.at(dcut, np.minimum(grades, many - 1), np.where(grades < many, -d_hi, 0) / len(grades))
-        np.add.at(dcut, np.maximum(grades - 1, 0), np.where(grades > 0, d_lo, 0) / len(grades))
-        below = np.cumsum(dcut[::-1])[::-1]
-        gt = np.concatenate([below[:1], below[1:] * np.exp(theta[1:])])
+        _, gw, gt = loss(w, theta, grades, index, value, offsets, penalty)
         for x, g, (m, v), rate in ((w, gw, moments[0], 0.5), (theta, gt, moments[1], 0.05)):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -123,7 +130,8 @@ def train(docs: DataFrame, ratings: DataFrame, text: str = "text", key: str = "d
     rated = ratings.select(field(ratings, key).alias("__key"), field(ratings, grade).cast("int").alias("__grade")).where("__key is not null and __grade is not null")
     chosen = rated.orderBy(F.xxhash64("__key"), "__key", "__grade").limit(sample)  # bounded, so it may be broadcast
     texts = docs.select(field(docs, key).alias("__key"), field(docs, text).alias("__text")).where("__text is not null and __text != ''")
-    rows = texts.join(F.broadcast(chosen), "__key").select("__text", "__grade")
+    # an id that many rows have is one rated text for each of its grades
+    rows = texts.join(F.broadcast(chosen), "__key").groupBy("__key", "__grade").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text")).select("__text", "__grade")
 
     def one(table: pa.Table) -> pa.Table:
         order = np.lexsort((table.column("__grade").to_numpy(), [zlib.crc32(x.encode()) for x in table.column("__text").to_pylist()]))

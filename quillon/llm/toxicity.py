@@ -1,20 +1,22 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are words and the first PREFIXES bytes of longer ones, hashed to 2**BITS; a text's
-vector has (1 + ln tf) * ln(documents / document frequency), of length one. Document
-frequencies are counted over all documents. Terms in more than max_df of them count
-only if the classes of the examples use them unevenly. The examples, at most SAMPLE of
-each class in SHARE (those of the smallest hashes), lie in an inverted index whose
-postings come in blocks of examples with the greatest weight of each term. For a text
-the block maxima bound the cosine of every block; the blocks of the greatest bounds are
-scored first, and then those whose bound reaches the k-th best cosine so far: the k
-nearest are exact. Each votes with its cosine; the share of the toxic votes, through a
+vector has (1 + ln tf) * ln((1 + documents) / (1 + document frequency)) for every term, of
+length one. Document frequencies are counted over all documents. The examples, at most
+SAMPLE of each class in SHARE (those of the smallest hashes), lie in an inverted index
+whose postings come in blocks of examples with the greatest weight of each term; terms of
+over DENSE of the examples have their postings as rows of a matrix, one place for each
+example. For a text the products with the matrix and the block maxima of the other terms
+bound the cosine of every block; the blocks of the greatest bounds are scored first, and
+then those whose bound reaches the k-th best cosine so far: the k nearest by cosine over
+all terms are exact. Each votes with its cosine; the share of the toxic votes, through a
 logistic curve fitted to the examples' own votes (each left out of its index) at the
-classes' shares among all labels, is the score.
+classes' shares among all labels, is the score. Evidence are examples of the sample.
 
-Null texts have null scores; a text that shares no term with any example has votes of
+Ids may be of any type. Null texts have null scores; a text that shares no term with any example has votes of
 zero. Equal cosines: the example of the smaller id first. Labels that are null, or of
-missing or null texts, take no part. Without examples of both classes scores are null.
+missing or null texts, take no part; of the rows of one id the text of the smallest hash
+is the example. Without examples of both classes scores are null.
 """
 
 from __future__ import annotations
@@ -23,16 +25,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import arrays
-from .common import append, field
+from .common import append, field, packed_counts
 
 BITS, NEAREST, BLOCK, EVIDENCE = 20, 128, 64, 5
 #: Bytes of the prefixes of longer words that are terms too, as rough stems.
 PREFIXES = (4, 6, 8)
 #: The most examples of each class.
 SAMPLE, SHARE = 2048, {1: 0.5, 0: 1.0}
-MAX_DF = 0.05
+#: Share of the examples from which on a term's postings are a row of the matrix.
+DENSE = 0.1
 #: Texts are scored together up to so many postings and scores; a text with more is scored alone.
 _POSTINGS = 1_000_000
 
@@ -50,43 +55,40 @@ def terms(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, n
 def frequencies(docs: DataFrame, text: str = "text", bits: int = BITS) -> tuple[np.ndarray, int]:
     """Document frequencies of all terms, and the number of documents with a text."""
 
-    def run(batches):
-        total, n = np.zeros(1 << bits, np.int64), 0
+    def counted(batches):
+        total = np.zeros((1 << bits) + 1, np.int64)
         for batch in batches:
             column = batch.column(0)
-            n += len(column)
+            total[-1] += len(column)
             for a, b in arrays.slices(column):
-                total += np.bincount(terms(column.slice(a, b - a), bits)[1], minlength=1 << bits)
+                total[:-1] += np.bincount(terms(column.slice(a, b - a), bits)[1], minlength=1 << bits)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1]]).astype(np.int32)), pa.array(np.concatenate([total[at], [n]]))], names=["term", "n"])
-
-    def pack(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype("<i4").tobytes()], pa.binary()), pa.array([batch.column(1).to_numpy().astype("<i8").tobytes()], pa.binary())], names=["terms", "counts"])
+        yield at, total[at]
 
-    counted = docs.select(field(docs, text).alias("__text")).where("__text is not null").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros((1 << bits) + 1, np.int64)  # 2**bits + 1 counts at most come to the driver, in a few packed rows
-    for r in counted.mapInArrow(pack, "terms binary, counts binary").collect():
-        out[np.frombuffer(r.terms, "<i4")] = np.frombuffer(r.counts, "<i8")
+    out = packed_counts(docs.select(field(docs, text).alias("__text")).where("__text is not null"), counted, (1 << bits) + 1)
     return out[:-1], int(out[-1])
 
 
 class Index:
     """The examples as blocks of postings, and the curve of the votes."""
 
-    def __init__(self, keys: list[int], toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, n: int, prior: float, max_df: float = MAX_DF, k: int = NEAREST, bits: int = BITS):
-        self.keys, self.toxic, self.k, self.bits = np.array(keys), np.asarray(toxic, bool), min(k, max(len(keys) - 1, 1)), bits
+    def __init__(self, keys: list, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, n: int, prior: float, k: int = NEAREST, bits: int = BITS, dense: float = DENSE, key_type: T.DataType | None = None):
+        self.key_type = key_type or T.LongType()
+        self.keys, self.toxic, self.k, self.bits = keys, np.asarray(toxic, bool), min(k, max(len(keys) - 1, 1)), bits
         example = np.repeat(np.arange(len(keys)), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors])
         count = np.concatenate([c for _, c in vectors])
-        idf = np.log((1 + n) / (1 + df))
-        used = [np.bincount(term[self.toxic[example] == c], minlength=1 << bits) / max((self.toxic == c).sum(), 1) for c in (False, True)]
-        uneven = np.maximum(used[0], used[1]) > 3 * np.minimum(used[0], used[1]) + 0.02
-        self.idf = np.where((df <= max_df * n) | uneven, idf, 0.0).astype(np.float32)
+        self.idf = np.log((1 + n) / (1 + df)).astype(np.float32)
         weight = self.weigh(example, term, count, len(keys))
         keep = weight > 0
         example, term, weight = example[keep], term[keep], weight[keep]
+        common = np.flatnonzero(np.bincount(term, minlength=1 << bits) > dense * len(keys))
+        self.row = np.full(1 << bits, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        here = self.row[term] >= 0
+        self.matrix = np.zeros((len(common), len(keys)), np.float32)
+        self.matrix[self.row[term[here]], example[here]] = weight[here]
+        example, term, weight = example[~here], term[~here], weight[~here]
         order = np.lexsort((example, term))
         self.example, self.weight, term = example[order].astype(np.int32), weight[order], term[order]
         self.blocks = -(-len(keys) // BLOCK)
@@ -110,7 +112,7 @@ class Index:
         near, cosine = np.zeros((n, self.k), np.int64), np.zeros((n, self.k), np.float32)
         entries = self.at[term + 1] - self.at[term]
         postings = self.start[self.at[term + 1]] - self.start[self.at[term]]
-        load = np.concatenate([[0], np.cumsum(np.bincount(text, postings, n) + len(self.keys))])
+        load = np.concatenate([[0], np.cumsum(np.bincount(text, postings, n) + len(self.keys) + len(self.matrix))])
         row = 0
         while row < n:
             to = min(max(int(np.searchsorted(load, load[row] + _POSTINGS, "right")) - 1, row + 1), n)
@@ -121,20 +123,27 @@ class Index:
 
     def _score(self, text, term, weight, entries, near, cosine, without, prune) -> None:
         n, many, k = len(near), len(self.keys), self.k
+        common = self.row[term]
+        own = np.flatnonzero(common >= 0)
+        query = np.zeros((n, len(self.matrix)), np.float32)
+        query[text[own], common[own]] = weight[own]
+        score = np.zeros((n, self.blocks * BLOCK), np.float32)
+        score[:, :many] = query @ self.matrix
         entry = arrays.ragged_positions(self.at[term], entries)
         owner, w = np.repeat(text, entries), np.repeat(weight, entries)
         cell = owner * self.blocks + self.block[entry]
-        bound = np.bincount(cell, w * self.most[entry], n * self.blocks).reshape(n, self.blocks) + 1e-6
-        score = np.zeros((n, self.blocks * BLOCK), np.float32)
+        bound = np.bincount(cell, w * self.most[entry], n * self.blocks).reshape(n, self.blocks) + score.reshape(n, self.blocks, BLOCK).max(2) + 1e-6
+        scored = np.zeros(bound.shape, bool)
 
         def add(chosen: np.ndarray) -> None:
+            scored[chosen] = True
             pick = np.flatnonzero(chosen.ravel()[cell])
             size = self.start[entry[pick] + 1] - self.start[entry[pick]]
             post = arrays.ragged_positions(self.start[entry[pick]], size)
             score.ravel()[:] += np.bincount(np.repeat(owner[pick], size) * score.shape[1] + self.example[post], np.repeat(w[pick], size) * self.weight[post], score.size)
 
         def best() -> np.ndarray:
-            real = score[:, :many]
+            real = np.where(np.repeat(scored, BLOCK, axis=1)[:, :many], score[:, :many], np.float32(-1))
             if without is not None:
                 real[np.arange(n), without] = -1
             return real
@@ -185,7 +194,7 @@ class Index:
         return 1 / (1 + np.exp(-(self.slope * self.votes(near, cosine) + self.shift))), near, cosine
 
 
-def build(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, max_df: float = MAX_DF, k: int = NEAREST, bits: int = BITS) -> Index | None:
+def build(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, k: int = NEAREST, bits: int = BITS) -> Index | None:
     """The index of a sample of labelled documents; None without both classes."""
     named = labels.select(field(labels, key).alias("__key"), (field(labels, label).cast("int") > 0).cast("int").alias("__toxic")).where("__key is not null and __toxic is not null")
     shares = {r["__toxic"]: r["count"] for r in named.groupBy("__toxic").count().collect()}
@@ -206,18 +215,21 @@ def build(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 rows = [(term[at[i] : at[i + 1]].astype("<i4").tobytes(), count[at[i] : at[i + 1]].astype("<i4").tobytes()) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "toxic", "terms", "counts"])
 
-    rows = texts.join(F.broadcast(chosen), "__key").select("__key", "__toxic", "__text").mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, toxic int, terms binary, counts binary").collect()  # sample of each class at most
+    # an id that many rows have is one example
+    one = texts.join(F.broadcast(chosen), "__key").groupBy("__key", "__toxic").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    rows = one.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, toxic int, terms binary, counts binary").collect()  # sample of each class at most
     rows.sort(key=lambda r: (r.key, r.toxic, r.terms))
     if len({r.toxic for r in rows}) < 2:
         return None
     df, n = frequencies(docs, text, bits)
     vectors = [(np.frombuffer(r.terms, "<i4").astype(np.int64), np.frombuffer(r.counts, "<i4")) for r in rows]
-    return Index([r.key for r in rows], np.array([r.toxic for r in rows]), vectors, df, n, shares[1] / (shares[0] + shares[1]), max_df, k, bits)
+    return Index([r.key for r in rows], np.array([r.toxic for r in rows]), vectors, df, n, shares[1] / (shares[0] + shares[1]), k, bits, key_type=docs.schema[key].dataType)
 
 
 def score(docs: DataFrame, index: Index | None, text: str = "text", threshold: float = 0.5, drop_text: bool = False) -> DataFrame:
     """docs with toxicity, toxic (toxicity >= threshold) and evidence (the nearest examples: id, cosine, toxic). Columns of these names are replaced."""
-    kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
+    key = index.key_type if index is not None else T.LongType()
+    kind = pa.list_(pa.struct([("example", to_arrow_type(key)), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
 
     def run(batch: pa.RecordBatch) -> tuple[None, list[pa.Array]]:
         column = batch.column(batch.schema.names.index(text))
@@ -235,8 +247,8 @@ def score(docs: DataFrame, index: Index | None, text: str = "text", threshold: f
             cosine.append(cos[cos > 0])
         example = np.concatenate(example) if example else np.zeros(0, np.int64)
         cosine = np.concatenate(cosine) if cosine else np.zeros(0)
-        values = pa.StructArray.from_arrays([pa.array(index.keys[example].astype(np.int64)), pa.array(cosine.astype(np.float64)), pa.array(index.toxic[example])], fields=list(kind.value_type))
+        values = pa.StructArray.from_arrays([pa.array([index.keys[i] for i in example.tolist()], kind.value_type[0].type), pa.array(cosine.astype(np.float64)), pa.array(index.toxic[example])], fields=list(kind.value_type))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), values, mask=pa.array(null))
         return None, [pa.array(p, mask=null), pa.array(p >= threshold, mask=null), lists]
 
-    return append(docs, run, "toxicity double, toxic boolean, evidence array<struct<example: bigint, cosine: double, toxic: boolean>>", needs=[text], drop=[text] * drop_text)
+    return append(docs, run, f"toxicity double, toxic boolean, evidence array<struct<example: {key.simpleString()}, cosine: double, toxic: boolean>>", needs=[text], drop=[text] * drop_text)

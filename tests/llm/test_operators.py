@@ -209,6 +209,46 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score(docs, model, at_least=2, select=True).columns == docs.columns
 
 
+def test_quality_gradient_and_fit():
+    """Gradients against finite differences, the fit against plain gradient descent on dense features."""
+    rng = np.random.default_rng(5)
+    n, bits, many = 60, 4, 3
+    offsets = np.arange(n + 1) * 5
+    index, value = rng.integers(1 << bits, size=5 * n), rng.random(5 * n)
+    dense = np.zeros((n, 1 << bits))
+    np.add.at(dense, (np.repeat(np.arange(n), 5), index), value)
+    grades = np.clip(np.round(dense @ rng.normal(size=1 << bits) + 1 + 0.3 * rng.normal(size=n)), 0, many).astype(int)
+    _, grades = np.unique(grades, return_inverse=True)
+    many = int(grades.max())
+
+    def value_of(x, penalty):  # the likelihood written down again, by cases
+        w, cuts, total = x[: 1 << bits], np.cumsum(np.concatenate([x[1 << bits :][:1], np.exp(x[1 << bits :][1:])])), 0.0
+        for row, g in zip(dense, grades, strict=True):
+            below = [0.0, *[1 / (1 + np.exp(-(c - row @ w))) for c in cuts], 1.0]
+            total -= np.log(below[g + 1] - below[g])
+        return total / n + penalty / 2 * (w @ w)
+
+    x = np.concatenate([rng.normal(size=1 << bits), [-1.0], rng.normal(size=many - 1)])
+    got, gw, gt = quality.loss(x[: 1 << bits], x[1 << bits :], grades, index, value, offsets, 0.01)
+    assert abs(got - value_of(x, 0.01)) < 1e-9
+    for i, g in enumerate(np.concatenate([gw, gt])):
+        step = np.zeros_like(x)
+        step[i] = 1e-5
+        assert abs((value_of(x + step, 0.01) - value_of(x - step, 0.01)) / 2e-5 - g) < 1e-6
+    w, cuts = quality.fit(grades, index, value, offsets, bits, steps=2000, penalty=0.01)
+    fitted = np.concatenate([w, cuts[:1], np.log(np.diff(cuts))])
+    for _ in range(20_000):
+        _, gw, gt = quality.loss(x[: 1 << bits], x[1 << bits :], grades, index, value, offsets, 0.01)
+        x = x - 0.3 * np.concatenate([gw, gt])
+    assert value_of(fitted, 0.01) < value_of(x, 0.01) + 1e-3
+
+
+def test_a_repeated_id_is_one_rated_text(spark):
+    docs = frame(spark, [(1, f"text {i}") for i in range(500)] + [(2, "another")])
+    ratings = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id bigint, quality int")
+    assert quality.train(docs, ratings)[0] == [0, 1]
+
+
 def test_quality_edges(spark, odd, none):
     one = spark.createDataFrame([(4, 1)], "doc_id bigint, quality int")
     got = quality.score(odd, quality.train(odd, one))
@@ -554,15 +594,28 @@ def test_nearest_examples_equal_brute_force(spark):
     index = toxicity.build(docs, labels, k=20)
     column = pa.array([t for _, t in rows[500:560]])
     text, term, count = toxicity.terms(column)
-    weight = index.weigh(text, term, count, len(column))
-    near, cosine = index.nearest(text, term, weight, len(column))
-    dense = np.zeros((len(index.keys), 1 << toxicity.BITS), np.float32)
-    terms = np.repeat(np.arange(1 << toxicity.BITS), [index.start[index.at[t + 1]] - index.start[index.at[t]] for t in range(1 << toxicity.BITS)])
-    dense[index.example, terms] = index.weight
+    near, cosine = index.nearest(text, term, index.weigh(text, term, count, len(column)), len(column))
+
+    def vector(t):  # made without the index: words and prefixes, counted one by one
+        out = {}
+        for w in re.findall("[a-z0-9]+", t.lower()):
+            for x in [w, *[f"{w[:k]}:{k}" for k in toxicity.PREFIXES if len(w) > k]]:
+                out[x] = out.get(x, 0) + 1
+        return out
+
+    vectors = {i: vector(t) for i, t in rows}
+    df = {}
+    for v in vectors.values():
+        for x in v:
+            df[x] = df.get(x, 0) + 1
+    weighed = {i: {x: (1 + np.log(c)) * np.log((1 + len(rows)) / (1 + df[x])) for x, c in v.items()} for i, v in vectors.items()}
+    norm = {i: sum(c * c for c in v.values()) ** 0.5 for i, v in weighed.items()}
+    cos = lambda a, b: sum(c * weighed[b].get(x, 0) for x, c in weighed[a].items()) / (norm[a] * norm[b])
+    assert len(index.matrix) and len(index.weight)  # common terms and rare ones, none left out
     for i in range(len(column)):
-        own = text == i
-        want = np.sort(dense[:, term[own]] @ weight[own])[::-1][:20]
-        assert np.allclose(cosine[i], want, atol=1e-5)
+        want = sorted((cos(500 + i, k) for k in index.keys), reverse=True)[:20]
+        assert np.allclose(cosine[i], want, atol=1e-4)
+        assert np.allclose([cos(500 + i, index.keys[k]) for k in near[i]], cosine[i], atol=1e-4)
     got = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
     assert np.mean([got[i].toxic == (i % 4 == 0) for i in range(500, 800)]) > 0.95
     assert all(len(got[i].evidence) == toxicity.EVIDENCE for i in range(500, 800, 4))
@@ -577,6 +630,19 @@ def test_toxicity_edges(spark, odd, none):
     assert toxicity.score(odd, None).where("toxicity is not null").count() == 0
 
 
+def test_toxicity_with_names_as_ids_and_a_repeated_id(spark):
+    rng = random.Random(22)
+    mean = [w.upper() + "x" for w in WORDS[:30]]
+    texts = [prose(rng, 40, WORDS + mean * 3 if i % 4 == 0 else WORDS) for i in range(300)]
+    rows = [(f"d{i}", t) for i, t in enumerate(texts)] + [("d0", f"{t} again") for t in texts]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 4 == 0)) for i in range(200)], "doc_id string, toxic int")
+    index = toxicity.build(docs, labels, k=20)
+    assert sorted(index.keys) == sorted(f"d{i}" for i in range(200))
+    got = toxicity.score(docs, index).where("doc_id = 'd204'").first()
+    assert got.toxic and got.evidence[0].example.startswith("d")
+
+
 # 9
 
 
