@@ -1,16 +1,17 @@
 """Main text of HTML pages by minimum cuts.
 
 A page falls into blocks: runs of text between block-level tags. A logistic model of
-shallow features (length, share of linked words, punctuation, place, depth) and the
-elements around a block give the costs of calling it content or boilerplate, the
-capacities of its edges to the two terminals. Blocks next to each other, and blocks of
+shallow features (length, share of linked words, punctuation, place, depth) gives the
+costs of calling a block content or boilerplate, the capacities of its edges to the two
+terminals. Blocks next to each other, and blocks of
 one parent that follow each other, are joined by smoothness edges, weaker the farther
 apart they are in the element tree. The maximum flow separates content from
 boilerplate at least cost (of equal cuts, the one with the least content).
 
 The model learns from blocks that elements name themselves (article or main against
-nav, footer, aside and the like), on a bounded sample of pages, from the shallow
-features alone; without such pages a fixed one serves.
+nav, footer, aside and the like), on a bounded sample of pages. These names are labels to
+learn from and nothing else: no cost has them. Without such pages a fixed model serves.
+Time and memory are in proportion to a page's length, at any depth.
 
 Null pages have null text, pages without text the empty one. Malformed markup never
 fails: unknown or unclosed tags end where their parent ends. What svg, template and
@@ -35,7 +36,6 @@ from .common import append, field, smallest
 #: The most pages to fit the model on.
 SAMPLE = 2000
 ADJACENT, SIBLING = 1.2, 0.8
-PRIOR = 3.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|(<(script|style|title)\b(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>).*?(</\2\s*>|\Z)"
@@ -55,11 +55,34 @@ _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "parent", "path", "hint")
+    """A block: its text, words in links, the number of its parent element, its depth, how many elements around it also hold the block before, its hint."""
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], hint: int):
-        self.text, self.linked, self.path, self.hint = text, linked, path, hint
-        self.parent = path[-1] if path else 0
+    __slots__ = ("text", "linked", "parent", "depth", "common", "hint")
+
+    def __init__(self, text: str, linked: int, parent: int, depth: int, common: int, hint: int):
+        self.text, self.linked, self.parent, self.depth, self.common, self.hint = text, linked, parent, depth, common, hint
+
+
+class Open:
+    """The open elements of a page, with the places of each name: a closing tag finds its element, or that there is none, in one step."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, *rest) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, *rest))
+
+    def last(self, name: str) -> int:
+        """The place of the innermost one of a name, -1 if none is open."""
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def cut(self, k: int) -> None:
+        """Closes all from place k on."""
+        while len(self.stack) > k:
+            self.places[self.stack.pop()[0]].pop()
 
 
 def tokens(page: str) -> Iterator[tuple[re.Match, int, str]]:
@@ -77,7 +100,8 @@ def tokens(page: str) -> Iterator[tuple[re.Match, int, str]]:
 def hidden(page: str) -> dict[int, int]:
     """Where each closed svg, template or noscript starts and ends, of those in no other one."""
     out: dict[int, int] = {}
-    stack: list[tuple[str, int]] = []  # open elements: name, start
+    opened = Open()  # name, start
+    stack = opened.stack
     for m, end, name in tokens(page):
         if name not in _BLOCK and name not in _BAD and name not in _HIDES and name != "foreignobject" or name in _VOID:
             continue
@@ -86,41 +110,41 @@ def hidden(page: str) -> dict[int, int]:
                 k = len(stack)
                 while k and stack[k - 1][0] == "svg":
                     k -= 1
-                del stack[k:]
+                opened.cut(k)
             if name not in ("svg", "foreignobject") or not m[0].endswith("/>"):
-                stack.append((name, m.start()))
+                opened.push(name, m.start())
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                if name in _HIDES:
-                    while out and next(reversed(out)) > stack[k][1]:
-                        out.popitem()
-                    out[stack[k][1]] = end
-                del stack[k:]
-                break
-            if stack[k][0] == "template":  # tags in a template don't close what is around it
-                if any(x[0] == name and x[0] in _HIDES for x in stack[:k]):
-                    continue
-                break
+        k = opened.last(name)
+        if k < opened.last("template") and name not in _HIDES:  # these don't close what is around a template
+            continue
+        if k >= 0:
+            if name in _HIDES:
+                while out and next(reversed(out)) > stack[k][1]:
+                    out.popitem()
+                out[stack[k][1]] = end
+            opened.cut(k)
     return out
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order. hint: 1 inside article, main or the like, -1 inside nav, footer or the like, 0 otherwise; the innermost counts."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # block-level elements: name, number, hint
+    opened = Open()  # block-level elements: name, number, hint
+    stack = opened.stack
     parts: list[str] = []
     linked = links = number = at = 0
+    lowest = 0  # the fewest elements open since the last block
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, lowest
         text = "".join(parts)
         if text and not text.isspace():
             if "&" in text:
                 text = entities.unescape(text)
             text = _SPACE.sub(" ", text).strip()
             if text:
-                out.append(Block(text, linked, tuple(x[1] for x in stack), stack[-1][2] if stack else 0))
+                out.append(Block(text, linked, stack[-1][1] if stack else 0, len(stack), lowest, stack[-1][2] if stack else 0))
+                lowest = len(stack)
         parts.clear()
         linked = 0
 
@@ -150,17 +174,18 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    links = 0
-                    break
+            k = opened.last(name)
+            if k >= 0:
+                opened.cut(k)
+                lowest = min(lowest, k)
+                links = 0
             continue
         if name in _VOID:
             continue
         closes = _CLOSES.get(name)
         while closes and stack and stack[-1][0] in closes:
-            stack.pop()
+            opened.cut(len(stack) - 1)
+            lowest = min(lowest, len(stack))
         number += 1
         hint = stack[-1][2] if stack else 0
         if name in _GOOD:
@@ -169,7 +194,7 @@ def blocks(page: str) -> list[Block]:
             hint = -1
         elif "=" in attributes and _GOOD_CLASS.search(attributes):
             hint = 1
-        stack.append((name, number, hint))
+        opened.push(name, number, hint)
     parts.append(page[at:])
     flush()
     return out
@@ -182,7 +207,7 @@ def shallow(found: list[Block]) -> np.ndarray:
     for i, b in enumerate(found):
         words = b.text.count(" ") + 1
         marks = b.text.count(".") + b.text.count(",") + b.text.count(";")
-        out[i] = (1.0, np.log1p(words), min(b.linked / words, 1.0), min(marks / words, 1.0), min(i, n - 1 - i) / n, min(len(b.path), 20) / 10, len(b.text) / (words * 10))
+        out[i] = (1.0, np.log1p(words), min(b.linked / words, 1.0), min(marks / words, 1.0), min(i, n - 1 - i) / n, min(b.depth, 20) / 10, len(b.text) / (words * 10))
     return out
 
 
@@ -301,19 +326,11 @@ def _dinic(out: list[list[int]], to: list[int], capacity: list[float], s: int, t
 
 def graph(found: list[Block], p: np.ndarray) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
     """Terminal capacities and smoothness edges of the blocks of a page; p: probability of content from the shallow features."""
-    odds = np.log(p / (1 - p)) + PRIOR * np.array([b.hint for b in found])
-    q = 1 / (1 + np.exp(-odds))
-    source, sink = (-np.log(np.maximum(1 - q, 1e-12))).tolist(), (-np.log(np.maximum(q, 1e-12))).tolist()
+    source, sink = (-np.log(np.maximum(1 - p, 1e-12))).tolist(), (-np.log(np.maximum(p, 1e-12))).tolist()
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1].path
-            common = 0
-            for x, y in zip(a, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            edges.append((i - 1, i, ADJACENT / (1 + 0.5 * (len(a) + len(b.path) - 2 * common))))
+            edges.append((i - 1, i, ADJACENT / (1 + 0.5 * (found[i - 1].depth + b.depth - 2 * b.common))))
         before = last.get(b.parent)
         if before is not None and before < i - 1:
             edges.append((before, i, SIBLING))

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -583,6 +584,62 @@ def test_elements_that_are_left_out(page, want):
     assert [b.text for b in html.blocks(page)] == want
 
 
+@pytest.mark.parametrize("page", ["<div>x", "<p>a b", "</b></div>x", "<div>x</p>", "<template><div></p>", "<div>x</div></div>", "<svg><noscript>x</noscript>"])
+def test_long_pages_take_linear_time(page):
+    """100,000 elements, nested or closed for nothing, within seconds and without their paths."""
+    began = time.process_time()
+    assert html.extract_page(page * 100_000, html.DEFAULT)[1] in (0, 100_000)
+    assert time.process_time() - began < 60
+
+
+def test_common_elements_of_neighbouring_blocks():
+    rng = random.Random(23)
+    for _ in range(50):
+        parts, stack, want, last = [], [], [], None
+        for i in range(60):
+            kind = rng.random()
+            if kind < 0.4:
+                stack.append(i)
+                parts.append("<div>")
+            elif kind < 0.7 and stack:
+                stack.pop()
+                parts.append("</div>")
+            else:
+                parts.append(f"<hr>x{i}<hr>")
+                want.append((len(stack), None if last is None else len([1 for a, b in zip(last, stack) if a == b])))
+                last = list(stack)
+        got = html.blocks("".join(parts))
+        assert [b.depth for b in got] == [d for d, _ in want] and [b.common for b in got[1:]] == [c for _, c in want[1:]]
+
+
+def test_pages_on_held_out_ones(spark):
+    """Whole pages: what is in article elements is found again by a model of other pages, whose costs don't know elements."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.orderBy("page_id").collect()
+    w = html.train(pages.where("page_id % 2 = 0"))
+    both = taken = there = 0
+    for r in [r for r in rows if r.page_id % 2]:
+        plain = re.sub(r"(?i)<(/?)(article|nav|footer|aside|main)", r"<\1section", r.html).replace('class="ad"', "")
+        got, want = html.extract_page(plain, w)[0].split("\n"), [b.text for b in html.blocks(r.html) if b.hint > 0]
+        both += sum(len(x) for x in want if x in got)
+        taken += sum(map(len, got))
+        there += sum(map(len, want))
+    assert both > 0.99 * taken and both > 0.99 * there
+
+
+def test_the_cut_of_a_page_is_the_cheapest():
+    rng = random.Random(24)
+    for _ in range(40):
+        page = "".join(rng.choice(["<p>some words, here.</p>", "<li><a href=x>link</a></li>", "<div>", "</div>", "<h2>title</h2>", "<p>a longer run of words, with commas, and a full stop at its end.</p>"]) for _ in range(14))
+        found = html.blocks(page)[:12]
+        if not found:
+            continue
+        p = 1 / (1 + np.exp(-np.clip(html.shallow(found) @ html.DEFAULT, -8, 8)))
+        source, sink, edges = html.graph(found, p)
+        cost = lambda side: sum(b if x else a for x, a, b in zip(side, source, sink)) + sum(w for i, j, w in edges if side[i] != side[j])  # noqa: B023, E731
+        assert abs(cost(html.min_cut(source, sink, edges)) - min(map(cost, itertools.product([False, True], repeat=len(found))))) < 1e-6
+
+
 # 8
 
 
