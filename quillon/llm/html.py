@@ -214,7 +214,7 @@ def shallow(found: list[Block]) -> np.ndarray:
 DEFAULT = np.array([-2.0, 1.0, -4.0, 1.0, 1.0, 0.0, 0.0])
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression with balanced classes, by Newton steps."""
     if not (y == 1).any() or not (y == 0).any():
         return DEFAULT
