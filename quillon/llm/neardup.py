@@ -106,10 +106,13 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def shingles_of(texts: list[str], shingle: int) -> list[np.ndarray]:
-    """The distinct shingles of each text, sorted."""
-    codes, offsets = arrays.Words(pa.array(texts, pa.string()), characters=True).ngrams(shingle)
-    return [np.unique(codes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+def shingles_of(texts: list[str], shingle: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text, sorted; texts are cut a slice at a time."""
+    column = pa.array(texts, pa.string())
+    for a, b in arrays.slices(column):
+        codes, offsets = arrays.Words(column.slice(a, b - a), characters=True).ngrams(shingle)
+        for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+            yield np.unique(codes[lo:hi])
 
 
 def _counters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,9 +221,10 @@ class NearDuplicates:
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             total = np.zeros(1 << ORDER_BITS, np.int64)
             for batch in batches:
-                for codes in shingles_of([_unpack(z) for z in batch.column(0).to_pylist()], shingle):
+                for a in range(0, batch.num_rows, 256):
+                    codes = np.concatenate(list(shingles_of([_unpack(z) for z in batch.column(0).slice(a, 256).to_pylist()], shingle)))
                     for at in _counters(codes):
-                        total += np.bincount(at, minlength=len(total))
+                        np.add.at(total, at, 1)
             at = np.flatnonzero(total)
             yield at, total[at]
 
@@ -232,7 +236,9 @@ class NearDuplicates:
             for batch in batches:
                 node, group = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 out: list[list] = [[], [], [], [], []]
-                for i, codes in enumerate(shingles_of([_unpack(z) for z in batch.column(1).to_pylist()], shingle)):
+                packed = batch.column(1).to_pylist()
+                every = (codes for a in range(0, len(packed), 256) for codes in shingles_of([_unpack(z) for z in packed[a : a + 256]], shingle))
+                for i, codes in enumerate(every):
                     n = len(codes)
                     if not n:
                         continue
@@ -282,7 +288,7 @@ class NearDuplicates:
                 if node not in last:
                     if len(last) > 64:
                         last.clear()
-                    last[node] = shingles_of([_unpack(z)], shingle)[0]
+                    last[node] = next(shingles_of([_unpack(z)], shingle))
                 return last[node]
 
             for b in batches:
