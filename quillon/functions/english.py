@@ -3,7 +3,8 @@
 The parser cuts words, numbers and compound words with hyphens (the compound and its
 parts are words of their own, at positions of their own); stop words keep their position
 and count in the length. The stemmer follows the published Porter2 algorithm; Spark has
-none, so that this analyzer is an Arrow function over batches of texts.
+none, so that this analyzer is an Arrow function over batches of texts, in which each
+distinct word is folded and stemmed once.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..plans.query import Query, fold
-from .text import DOC_TYPE, column, once
+from . import batches
+from .text import column
 
 STOP = frozenset(
     """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them
@@ -114,6 +116,8 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
+#: Words whose terms a task keeps.
+_KEPT = 1_000_000
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)+|[^\W_]+")
 
 
@@ -127,6 +131,17 @@ def lexemes(text: str, config: str) -> list[str | None]:
     return out
 
 
+def document(text: str, config: str) -> dict:
+    """The document of one text."""
+    normalize(config)
+    found = lexemes(text, config)
+    where: dict[str, list[int]] = {}
+    for i, x in enumerate(found):
+        if x:
+            where.setdefault(x, []).append(i + 1)
+    return {"terms": [{"term": x, "tf": len(p), "pos": p} for x, p in sorted(where.items(), key=lambda e: e[0].encode())], "doclen": len(found), "has_pos": True}
+
+
 def normalize(config: str):
     """For Query.parse: the first lexeme of a term, None for a stop word."""
     if config not in ("simple", "english"):
@@ -138,26 +153,36 @@ def parse_query(config: str, text: str) -> Query:
     return Query.parse(text, normalize(config))
 
 
-def analyze_config(df: DataFrame, config: str, text: str = "text", doc: str = "doc") -> DataFrame:
+def analyze_config(df: DataFrame, config: str, text: str = "text", doc: str = "doc", keep_text: bool = True) -> DataFrame:
     """df with the document of a text column by a configuration; a column of that name is replaced."""
     normalize(config)
 
-    @F.pandas_udf(DOC_TYPE)
-    def made(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
+    made: dict[str, tuple[str | None, ...]] = {}  # of the words that a task has met
+
+    def cutter(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        if len(made) > _KEPT:
+            made.clear()
+        known: dict[str, int] = {}
+        parts: list[tuple[int, ...]] = []  # the terms of each distinct word
+        terms: dict[str | None, int] = {}
+        out: list[int] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts.to_pylist()):
             if t is None:
-                rows.append((None, None, None))
                 continue
-            found = lexemes(t, config)
-            where: dict[str, list[int]] = {}
-            for i, x in enumerate(found):
-                if x:
-                    where.setdefault(x, []).append(i + 1)
-            rows.append(([{"term": x, "tf": len(p), "pos": p} for x, p in sorted(where.items(), key=lambda e: e[0].encode())], len(found), True))
-        return pd.DataFrame(rows, columns=["terms", "doclen", "has_pos"], dtype=object)
-
-    kept = [column(df, c) for c in df.columns if c.lower() != doc.lower()]
-    names = [c for c in df.columns if c.lower() != doc.lower()]
-    rows = df.select(*kept, made(column(df, text)).alias("__doc"))
-    return once(rows, F.struct(F.when(F.col("__doc.terms").isNotNull(), F.col("__doc")).alias(doc)), *[column(rows, c) for c in names])
+            before = len(out)
+            for w in _WORD.findall(t):
+                k = known.get(w)
+                if k is None:
+                    known[w] = k = len(parts)
+                    own = made.get(w)
+                    if own is None:
+                        own = made[w] = tuple(lexemes(w, config))
+                    parts.append(tuple([terms.setdefault(x, len(terms)) for x in own]))
+                out += parts[k]
+            counts[i] = len(out) - before
+        words = pa.array(list(terms), pa.string())
+        return words.take(pa.array(out, pa.int32())), counts
+
+    kept = [column(df, c) for c in df.columns if c.lower() != doc.lower() and (keep_text or c != text)]
+    return batches.with_documents(df.select(*kept, column(df, text).cast("string").alias("__text")), doc, cutter)

@@ -7,14 +7,16 @@ distinct query once. For plans that stay in the JVM use the column functions.
 
 from __future__ import annotations
 
+import math
+import re
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.query import FUZZY, PREFIX, REGEX, Query, fold
-from . import codec, score
+from ..plans.query import _WORD, FUZZY, PREFIX, REGEX, Query, fold
+from . import codec, english, score
 from .text import DOC_TYPE
 
 
@@ -32,16 +34,32 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
+@lru_cache(maxsize=1024)
+def _pattern(text: str) -> re.Pattern:
+    return re.compile(python_regex(text))
+
+
+def python_regex(pattern: str) -> str:
+    """A pattern of the advanced dialect in Python's: word constraints and classes differ."""
+    classes = {"alpha": "a-zA-Z", "digit": "0-9", "alnum": "a-zA-Z0-9", "upper": "A-Z", "lower": "a-z", "space": r"\s", "punct": r"!-/:-@\[-`{-~", "xdigit": "0-9a-fA-F"}
+    words = {"m": r"\b(?=\w)", "<": r"\b(?=\w)", "M": r"\b(?<=\w)", ">": r"\b(?<=\w)", "y": r"\b", "Y": r"\B"}
+
+    def one(m: re.Match) -> str:
+        if m[3]:
+            return classes[m[3]]
+        return words.get(m[1] or m[2], m[0])
+
+    return re.sub(r"\\(.)|\[\[:([<>]):\]\]|\[:(alpha|digit|alnum|upper|lower|space|punct|xdigit):\]", one, pattern, flags=re.S)
+
+
 def matches(doc: dict, query: Query) -> bool:
     """A document against a query, one at a time: the model that the plans are tested against."""
-    import re
-
     known = {t["term"]: t for t in doc["terms"]}
     step = lambda left, right, d: [p for p in right if any(0 < p - x <= d for x in left)]
 
     def value(i):
         if i.flags & REGEX:
-            return any(re.search(i.term, t) for t in known), None
+            return any(_pattern(i.term).search(t) for t in known), None
         if i.flags & FUZZY:
             return any(abs(len(t) - len(i.term)) <= i.distance and _edits(t, i.term) <= i.distance for t in known), None
         if i.flags & PREFIX:
@@ -58,30 +76,77 @@ def matches(doc: dict, query: Query) -> bool:
     return bool(out and out[0])
 
 
-def bm25(doc: dict, query: Query, n: float, avgdl: float, dfs=None) -> float:
-    import math
+def _idf(n: float, dfs, i: int, variant: str = "lucene") -> float:
+    df = dfs[i] if dfs is not None and i < len(dfs) and dfs[i] is not None else 1.0
+    n = max(n, 1.0)
+    df = min(max(df, 1.0), n)
+    rare = (n - df + 0.5) / (df + 0.5)
+    return {"robertson": lambda: math.log(rare), "atire": lambda: math.log(n / df), "bm25l": lambda: math.log((n + 1) / (df + 0.5))}.get(variant, lambda: math.log(1 + rare))()
 
+
+def bm25(doc: dict, query: Query, n: float, avgdl: float, dfs=None, k1: float = score.K1, b: float = score.B, variant: str = "lucene") -> float:
     tf = {t["term"]: t["tf"] for t in doc["terms"]}
-    n, avgdl, total = max(n, 1.0), avgdl if avgdl > 0 else 1.0, 0.0
+    avgdl, total, name = avgdl if avgdl > 0 else 1.0, 0.0, score.variant_name(variant)
+    length = 1 - b + b * doc["doclen"] / avgdl
     for i, v in enumerate(query.values()):
-        df = dfs[i] if dfs is not None and i < len(dfs) and dfs[i] is not None else 1.0
-        df = min(max(df, 1.0), n)
         f = tf.get(v.term, 0)
         if f:
-            total += math.log(1 + (n - df + 0.5) / (df + 0.5)) * f * (score.K1 + 1) / (f + score.K1 * (1 - score.B + score.B * doc["doclen"] / avgdl))
+            held = f / length + score.DELTA_L
+            part = (k1 + 1) * held / (k1 + held) if name == "bm25l" else f * (k1 + 1) / (f + k1 * length) + (score.DELTA_PLUS if name == "bm25+" else 0.0)
+            total += _idf(n, dfs, i, name) * part
+    return total
+
+
+def bm25f(fields: list[dict | None], query: Query, weights, n: float, avgdls, dfs=None) -> float:
+    if not len(fields) == len(weights) == len(avgdls):
+        raise ValueError("as many weights and average lengths as documents are needed")
+    total = 0.0
+    for i, v in enumerate(query.values()):
+        tf = 0.0
+        for doc, weight, avgdl in zip(fields, weights, avgdls, strict=True):
+            if doc is not None:
+                mean = 1.0 if avgdl is None or avgdl <= 0 else avgdl
+                tf += (1.0 if weight is None else weight) * next((t["tf"] for t in doc["terms"] if t["term"] == v.term), 0) / (1 - score.B + score.B * doc["doclen"] / mean)
+        if tf > 0:
+            total += _idf(n, dfs, i) * tf * (score.K1 + 1) / (score.K1 + tf)
     return total
 
 
+def snippet(text: str, query: Query, before: str, after: str, ellipsis: str, size: int) -> str:
+    """The window of size tokens with most hits, the earliest of equals."""
+    words, terms, size = _WORD.findall(text), query.literals(), max(size, 1)
+    hit = [fold(w) in terms for w in words]
+    best = now = sum(hit[:size])
+    start = 0
+    for i in range(size, len(words)):
+        now += hit[i] - hit[i - size]
+        if now > best:
+            best, start = now, i - size + 1
+    shown = " ".join(before + w + after if h else w for w, h in zip(words[start : start + size], hit[start : start + size], strict=True))
+    return (ellipsis if start else "") + shown + (ellipsis if start + size < len(words) else "")
+
+
 def register(spark: SparkSession) -> None:
-    """to_ftsdoc, to_ftsquery, ftsdoc_length, fts_match, fts_bm25, fts_distance, fts_highlight, tsquery_to_ftsquery in SQL."""
+    """In SQL: to_ftsdoc, to_ftsdoc_config, ftsdoc (the cast of a literal), to_ftsquery, tsquery_to_ftsquery, ftsdoc_length,
+    fts_match, fts_bm25, fts_bm25_dfs, fts_bm25_opts, fts_bm25f, fts_distance, fts_highlight, fts_snippet."""
 
     def docs(frame: pd.DataFrame) -> list[dict | None]:
         return [None if t is None else {"terms": [dict(x) for x in t], "doclen": n, "has_pos": bool(p)} for t, n, p in zip(frame["terms"], frame["doclen"], frame["has_pos"], strict=True)]
 
+    def made(rows: list[dict | None]) -> pd.DataFrame:
+        return pd.DataFrame([(r["terms"], r["doclen"], r["has_pos"]) if r else (None, None, None) for r in rows], columns=["terms", "doclen", "has_pos"], dtype=object)
+
     @F.pandas_udf(DOC_TYPE)
     def to_ftsdoc(texts: pd.Series) -> pd.DataFrame:
-        rows = [codec.parse(t) if t is not None else None for t in texts]
-        return pd.DataFrame([(r["terms"], r["doclen"], r["has_pos"]) if r else (None, None, None) for r in rows], columns=["terms", "doclen", "has_pos"], dtype=object)
+        return made([codec.analyze(t) if t is not None else None for t in texts])
+
+    @F.pandas_udf(DOC_TYPE)
+    def to_ftsdoc_config(configs: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        return made([english.document(t, c) if t is not None and c is not None else None for c, t in zip(configs, texts, strict=True)])
+
+    @F.pandas_udf(DOC_TYPE)
+    def ftsdoc(literals: pd.Series) -> pd.DataFrame:
+        return made([codec.parse(t) if t is not None else None for t in literals])
 
     @F.pandas_udf("string")
     def to_ftsquery(texts: pd.Series) -> pd.Series:
@@ -103,18 +168,34 @@ def register(spark: SparkSession) -> None:
     def fts_bm25(frame: pd.DataFrame, queries: pd.Series, n: pd.Series, avgdl: pd.Series) -> pd.Series:
         return pd.Series([None if d is None or q is None or pd.isna(x) or pd.isna(y) else bm25(d, _query(q), x, y) for d, q, x, y in zip(docs(frame), queries, n, avgdl, strict=True)], dtype=object)
 
+    @F.pandas_udf("double")
+    def fts_bm25_dfs(frame: pd.DataFrame, queries: pd.Series, n: pd.Series, avgdl: pd.Series, dfs: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None or q is None or pd.isna(x) or pd.isna(y) else bm25(d, _query(q), x, y, f) for d, q, x, y, f in zip(docs(frame), queries, n, avgdl, dfs, strict=True)], dtype=object)
+
+    @F.pandas_udf("double")
+    def fts_bm25_opts(frame: pd.DataFrame, queries: pd.Series, n: pd.Series, avgdl: pd.Series, dfs: pd.Series, k1: pd.Series, b: pd.Series, variant: pd.Series) -> pd.Series:
+        rows = zip(docs(frame), queries, n, avgdl, dfs, k1, b, variant, strict=True)
+        return pd.Series([None if d is None or q is None or v is None or any(pd.isna(z) for z in (x, y, k, c)) else bm25(d, _query(q), x, y, f, k, c, v) for d, q, x, y, f, k, c, v in rows], dtype=object)
+
+    @F.pandas_udf("double")
+    def fts_bm25f(fields: pd.Series, queries: pd.Series, weights: pd.Series, n: pd.Series, avgdls: pd.Series, dfs: pd.Series) -> pd.Series:
+        rows = zip(fields, queries, weights, n, avgdls, dfs, strict=True)
+        return pd.Series([None if f is None or q is None or w is None or a is None or pd.isna(x) else bm25f(list(f), _query(q), list(w), x, list(a), d) for f, q, w, x, a, d in rows], dtype=object)
+
     @F.pandas_udf("double")
     def fts_distance(frame: pd.DataFrame, queries: pd.Series) -> pd.Series:
         return pd.Series([None if d is None or q is None else 1 / (1 + bm25(d, _query(q), 1.0, d["doclen"])) for d, q in zip(docs(frame), queries, strict=True)], dtype=object)
 
-    def parts(text: str) -> list[str]:
-        import re
+    @F.pandas_udf("string")
+    def fts_snippet(texts: pd.Series, queries: pd.Series, before: pd.Series, after: pd.Series, ellipsis: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or q is None else snippet(t, _query(q), a, b, e, int(k)) for t, q, a, b, e, k in zip(texts, queries, before, after, ellipsis, size, strict=True)], dtype=object)
 
+    def parts(text: str) -> list[str]:
         return re.findall("[A-Za-z0-9\x80-\U0010ffff]+|[^A-Za-z0-9\x80-\U0010ffff]+", text)
 
     @F.pandas_udf("string")
     def fts_highlight(texts: pd.Series, queries: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
         return pd.Series([None if t is None or q is None else "".join(a + x + b if fold(x) in _query(q).literals() else x for x in parts(t)) for t, q, a, b in zip(texts, queries, before, after, strict=True)], dtype=object)
 
-    for f in (to_ftsdoc, to_ftsquery, tsquery_to_ftsquery, ftsdoc_length, fts_match, fts_bm25, fts_distance, fts_highlight):
+    for f in (to_ftsdoc, to_ftsdoc_config, ftsdoc, to_ftsquery, tsquery_to_ftsquery, ftsdoc_length, fts_match, fts_bm25, fts_bm25_dfs, fts_bm25_opts, fts_bm25f, fts_distance, fts_highlight, fts_snippet):
         spark.udf.register(f.__name__, f)

@@ -5,8 +5,9 @@ simple lower-case mapping of each character. Positions count from 1. A document
 struct of its distinct terms in byte order with their frequencies and positions, and
 its length in tokens. A null text gives a null document, one without tokens an empty one.
 
-Everything is built in: a document is made within its row, in n log n steps for n
-tokens, so analysis never shuffles.
+analyze() makes documents of whole columns, from Arrow batches (batches.py); document() is
+the same as an expression, for a text inside another one. A document is made within its
+row, in n log n steps for n tokens, so analysis never shuffles.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import batches
+
 TOKEN = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
 DOC_TYPE = "struct<terms: array<struct<term: string, tf: int, pos: array<int>>>, doclen: int, has_pos: boolean>"
 
@@ -63,10 +66,10 @@ def document(text: Column) -> Column:
     return bind(placed, of)
 
 
-def analyze(df: DataFrame, text: str = "text", doc: str = "doc") -> DataFrame:
-    """df with the analyzed document of a text column; a column of that name is replaced."""
-    kept = [column(df, c) for c in df.columns if c.lower() != doc.lower()]
-    return once(df, F.struct(document(column(df, text)).alias(doc)), *kept)
+def analyze(df: DataFrame, text: str = "text", doc: str = "doc", keep_text: bool = True) -> DataFrame:
+    """df with the analyzed document of a text column; a column of that name is replaced. keep_text: whether the text itself stays."""
+    kept = [column(df, c) for c in df.columns if c.lower() != doc.lower() and (keep_text or c != text)]
+    return batches.with_documents(df.select(*kept, fold(column(df, text)).alias("__text")), doc)
 
 
 def doc_length(doc: Column) -> Column:

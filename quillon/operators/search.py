@@ -34,7 +34,7 @@ def count(index: Index, query: str | Query, pending: bool = True, texts: DataFra
     """(matches): exact. A single term is looked up in the dictionary."""
     query = as_query(query)
     if len(query.items) == 1 and query.items[0].kind == VAL and not query.items[0].flags:
-        return index.dictionary(pending).where(F.col("term") == F.lit(query.items[0].term)).agg(F.coalesce(F.sum("df"), F.lit(0)).cast("bigint").alias("matches"))
+        return index.dictionary(pending, [query.items[0].term]).agg(F.coalesce(F.sum("df"), F.lit(0)).cast("bigint").alias("matches"))
     return plans.matching(index, query, pending, texts, by_bytes).agg(F.count(F.lit(1)).alias("matches"))
 
 
@@ -48,7 +48,7 @@ def document_frequencies(index: Index, query: str | Query) -> DataFrame:
     """(position, term, df) of each value of the query in order, as often as it occurs; a term without documents counts 1."""
     values = as_query(query).values()
     asked = index.spark.createDataFrame([(i, v.term) for i, v in enumerate(values)], "position int, term string")
-    known = index.dictionary().where(F.col("term").isin([v.term for v in values])) if values else index.dictionary().where("false")
+    known = index.dictionary(terms=[v.term for v in values])
     return asked.join(known, "term", "left").select("position", "term", F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double").alias("df"))
 
 

@@ -47,7 +47,7 @@ def statistics(index: Index, terms: list[str], pending: bool = True) -> DataFram
     docs = index.totals(pending)
     if not terms:
         return docs
-    words = index.dictionary(pending).where(F.col("term").isin(terms))
+    words = index.dictionary(pending, terms)
     dfs = words.agg(*[F.max(F.when(F.col("term") == F.lit(t), F.col("df"))).cast("double").alias(f"df{i}") for i, t in enumerate(terms)])
     return docs.crossJoin(F.broadcast(dfs))  # one row each
 
@@ -73,8 +73,8 @@ def gathered(index: Index, query: str | Query, scores: bool = False, pending: bo
     where = [F.when(F.col("term") == F.lit(x.item.term), F.col("positions")).alias(x.column) for x in plain if x.column]
     parts = rows.select("doc_id", bit.alias("mask"), F.lit(True).alias("literal"), value.alias("score"), *where)
     for x in patterns:
-        words = index.dictionary(pending).where(term_matches(F.col("term"), x.item, by_bytes)).select("term")
-        hits = index.postings(None, pending).join(words, "term", "left_semi")
+        words = index.dictionary(pending, bucket=True).where(term_matches(F.col("term"), x.item, by_bytes)).select("bucket", "term")
+        hits = index.postings(None, pending, bucket=True).join(words, ["bucket", "term"], "left_semi")
         parts = parts.unionAll(hits.select("doc_id", F.lit(1 << x.bit).cast("bigint").alias("mask"), F.lit(False).alias("literal"), F.lit(0.0).alias("score"), *[F.lit(None).cast("array<int>").alias(y.column) for y in plain if y.column]))
     return parts.groupBy("doc_id").agg(F.bit_or("mask").alias("mask"), F.max("literal").alias("literal"), F.sum("score").alias("score"), *[F.max(y.column).alias(y.column) for y in plain if y.column])
 

@@ -30,6 +30,8 @@ class QuerySyntaxError(ValueError):
 
 def fold(text: str) -> str:
     """Lower case by single characters, as the analyzer's."""
+    if text.isascii():
+        return text.lower()
     return "".join(low if len(low := c.lower()) == 1 else ("i" if c == "İ" else c) for c in text)
 
 

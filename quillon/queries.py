@@ -53,7 +53,7 @@ def _near(a: str, b: str, gap: int) -> str:
 
 
 def _analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.analyze(_docs(spark, sf_dir))
+    return text.analyze(_docs(spark, sf_dir), keep_text=False)
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,8 @@ _add(
     lambda s, d: _analyzed(s, d).select("doc_id", codec.received(codec.sent(F.col("doc"))).eqNullSafe(F.col("doc")).alias("bytes_same"), codec.parsed(text.canonical(F.col("doc"))).eqNullSafe(F.col("doc")).alias("text_same")),
     "SELECT doc_id, true AS bytes_same, true AS text_same FROM documents",
 )
-_add("english_stems", lambda s, d: english.analyze_config(_docs(s, d), "english").select("doc_id", text.canonical(F.col("doc")).alias("canonical"), F.col("doc.doclen").alias("doclen")))
-_add("english_stem_match", lambda s, d: english.analyze_config(_docs(s, d), "english").where(match_doc(F.col("doc"), english.parse_query("english", "tions | entes"))).select("doc_id"))
+_add("english_stems", lambda s, d: english.analyze_config(_docs(s, d), "english", keep_text=False).select("doc_id", text.canonical(F.col("doc")).alias("canonical"), F.col("doc.doclen").alias("doclen")))
+_add("english_stem_match", lambda s, d: english.analyze_config(_docs(s, d), "english", keep_text=False).where(match_doc(F.col("doc"), english.parse_query("english", "tions | entes"))).select("doc_id"))
 
 
 def _tsvector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,6 +392,80 @@ def _sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("sql_functions", _sql_functions, f"WITH {_T} SELECT doc_id, {has('the')} AND NOT {has('of')} AS matches, CAST(len(w) AS INTEGER) AS doclen FROM t")
 
 
+#: The canonical texts of the catalogue's queries, written down by hand.
+_GOLDEN = {
+    "term": "'the'",
+    "and": "('the' & 'of')",
+    "or": "(('der' | 'les') | 'que')",
+    "not": "('the' & !'of')",
+    "pure_not": "!'the'",
+    "nested": "((('the' | 'der') & !('of' | 'que')) & 'in')",
+    "prefix": "'tion'*",
+    "regex": "/^tion.*s$/",
+    "fuzzy": "'that'~1",
+    "mixed": "(('tion'* | 'that'~1) & !'les')",
+    "phrase2": "('of' <-> 'the')",
+    "phrase3": "(('in' <-> 'of') <-> 'the')",
+    "near2": "('of' <-> 'the')",
+    "near2_wide": "('the' <-> 'of')",
+    "near3": "('the' <-> ('of' <-> 'in'))",
+    "phrase_and_not": "(('of' <-> 'the') & !'der')",
+}
+
+
+def _sql(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .functions.registry import register
+
+        register(spark)
+        _docs(spark, sf_dir).createOrReplaceTempView("quillon_documents")
+        return spark.sql(query)
+
+    return run
+
+
+_add("sql_snippet", _sql("SELECT doc_id, fts_snippet(text, 'the & of | que', '[', ']', '...', 8) AS snippet FROM quillon_documents"), ORACLE["snippet"])
+_add("sql_regex", _sql(r"SELECT doc_id FROM quillon_documents WHERE fts_match(to_ftsdoc(text), r'/\\mtion[[:lower:]]*s\\M/')"), f"WITH {_T} SELECT doc_id FROM t WHERE {any_of(chr(114) + 'egexp_matches(x, ' + chr(39) + '^tion[a-z]*s$' + chr(39) + ')')}")
+for _v, _k in (("lucene", "lucene"), ("robertson", "robertson"), ("bm25l", "bm25l")):
+    _add(
+        f"sql_bm25_opts_{_k}",
+        _sql(f"SELECT doc_id, round(fts_bm25_opts(to_ftsdoc(text), '{_SCORED}', 10000D, 395D, array({', '.join(f'{x}D' for _, x in _W)}), 1.2D, 0.75D, '{_v}'), 6) AS score FROM quillon_documents"),
+        _scalar_sql(_v),
+    )
+_add("sql_bm25_dfs", _sql(f"SELECT doc_id, round(fts_bm25_dfs(to_ftsdoc(text), '{_SCORED}', 10000D, 395D, array({', '.join(f'{x}D' for _, x in _W)})), 6) AS score FROM quillon_documents"), _scalar_sql("lucene"))
+_add(
+    "sql_literal_and_prose",
+    _sql("SELECT doc_id, ftsdoc_length(to_ftsdoc(concat('''ok'':1 is how ', text))) AS analyzed, ftsdoc_length(ftsdoc('''a'':2 ''b'':3')) AS literal FROM quillon_documents"),
+    f"WITH {_T} SELECT doc_id, CAST(len(w) + 4 AS INTEGER) AS analyzed, 5 AS literal FROM t",
+)
+
+
+def _repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents inserted twice over, and then those of one source again with another text."""
+    docs = _docs(spark, sf_dir, "text", "source")
+    index = Index.create(spark, storage.scratch(spark, "index")).insert(docs.unionAll(docs)).flush()
+    index = index.insert(docs.where("source = 'src1'").withColumn("text", F.lit("the of nothing")))
+    return search.count(index, _LIFE).withColumn("ndocs", search.stats(index).select("ndocs").first()[0] * F.lit(1.0))
+
+
+_add(
+    "index_repeated_ids",
+    _repeated_ids,
+    f"WITH {_T} SELECT count(*) FILTER (WHERE source = 'src1' OR ({has('the')} AND {has('of')})) AS matches, CAST(count(*) AS DOUBLE) AS ndocs FROM documents JOIN t USING (doc_id)",
+)
+
+
+def _tidied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, docs = _parts(spark, sf_dir)
+    return _topk(index.delete(docs.where("source = 'src1'")).tidy(0.0)[0])
+
+
+_add("index_tidy", _tidied, _REST)
+_add("scan_search", lambda s, d: scan.search(_docs(s, d), "tion", 10).select("doc_id", F.round("score", 6).alias("score")), _ranked_sql({"tion": 1}))
+_add("index_search", lambda s, d: search.search(_index(s, d), "tion", 10).select("doc_id", F.round("score", 6).alias("score")), _ranked_sql({"tion": 1}))
+ORACLE["query_texts"] = "SELECT * FROM (VALUES " + ", ".join("('" + "', '".join(x.replace("'", "''") for x in row) + "')" for row in [(n, t, t) for n, t in _GOLDEN.items()]) + ") v(query, canonical, round_trip)"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of the documents, and the ten best for `the & of`."""
     return search.search(_index(spark, sf_dir), "the & of", 10)

@@ -1,13 +1,17 @@
 """The inverted index: segments of Parquet tables, and a manifest for each state of it.
 
 A segment has docs (doc_id, doclen), postings (term, doc_id, tf, doclen, positions) and
-dictionary (term, df, max_tf). Postings lie in folders by bucket, a hash of the term, and
-are sorted by term within a file, so that a lookup reads one folder and few row groups;
+dictionary (term, df, max_tf). Postings and dictionary lie in folders by bucket, a hash of
+the term, and are sorted by term within a file, so that a lookup reads one folder and few
+row groups, and a join on bucket and term reads the folders that it needs;
 several files a bucket (shards by document) keep the postings of a common term in pieces.
 Deleted documents are tables of their own (doc_id, seq): a delete holds for segments
 older than it. Documents just inserted are pending segments: whole already, without
 postings in the buckets, read by their texts' terms.
 
+An id is one document: of the rows of an insert that repeat an id the one with the text of
+the smallest hash counts, and an id that is there already is replaced.
+
 A change writes tables under new names and then one manifest, which is created whole or
 not at all: readers keep the state they opened, a change that breaks off leaves no trace,
 and of two that race one fails with Conflict.
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 from ..functions.text import analyze, column
 from . import storage
 
-FORMAT = 1
+FORMAT = 2
 BUCKETS, SHARDS = 16, 1
+#: Delete tables of the same segments that are joined into one.
+MOST_DELETES = 4
 POSTINGS = "term string, doc_id bigint, tf int, doclen int, positions array<int>"
 
 
@@ -37,6 +43,16 @@ def bucket_of(term: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term if isinstance(term, Column) else F.lit(term)), F.lit(buckets)).cast("int")
 
 
+def buckets_of(spark: SparkSession, terms: list[str], buckets: int) -> list[int]:
+    """The buckets of terms, worked out on the driver where the library of the hash is installed."""
+    try:
+        from xxhash import xxh64_intdigest
+    except ImportError:
+        return sorted(set(spark.range(1).select(*[bucket_of(t, buckets).alias(f"b{i}") for i, t in enumerate(terms)]).first()))
+    signed = (h - (1 << 64) if (h := xxh64_intdigest(t.encode(), 42)) >= 1 << 63 else h for t in terms)
+    return sorted({h % buckets for h in signed})
+
+
 def postings_of(docs: DataFrame, positions: bool = True) -> DataFrame:
     """Postings of analyzed documents (doc_id, doc), row by row."""
     rows = docs.select("doc_id", F.col("doc.doclen").alias("doclen"), F.explode("doc.terms").alias("t"))
@@ -109,41 +125,43 @@ class Index:
             parts += [self._live(self._read(p["name"], "doc_id bigint, doclen int"), p["seq"]) for p in self.manifest["pending"]]
         return self._union(parts, "doc_id bigint, doclen int")
 
-    def postings(self, terms: list[str] | None = None, pending: bool = True, live: bool = True) -> DataFrame:
-        """Postings; of the given terms by their buckets and by what files say about their terms."""
+    def _lookup(self, df: DataFrame, terms: list[str] | None) -> DataFrame:
+        """The rows of terms in a table with buckets; all without terms."""
+        if terms is None:
+            return df
+        return df.where(F.col("bucket").isin(buckets_of(self.spark, terms, self.manifest["buckets"])) & F.col("term").isin(terms)) if terms else df.where("false")
+
+    def postings(self, terms: list[str] | None = None, pending: bool = True, live: bool = True, bucket: bool = False) -> DataFrame:
+        """Postings; of the given terms by their buckets and by what files say about their terms. bucket: with that column."""
         parts = []
         for s in self.manifest["segments"]:
-            df = self._read(f"{s['name']}/postings", POSTINGS + ", bucket int")
-            if terms is not None:
-                buckets = self.buckets(terms)
-                df = df.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)) if terms else df.where("false")
-            df = df.drop("bucket")
+            df = self._lookup(self._read(f"{s['name']}/postings", POSTINGS + ", bucket int"), terms)
             parts.append(self._live(df, s["seq"]) if live else df)
         if pending:
             for p in self.manifest["pending"]:
                 df = postings_of(self._read(p["name"], "doc_id bigint, doclen int, doc struct<terms: array<struct<term: string, tf: int, pos: array<int>>>, doclen: int>"), self.manifest["positions"])
                 df = df.where(F.col("term").isin(terms) if terms else F.lit(False)) if terms is not None else df
-                parts.append(self._live(df, p["seq"]))
-        return self._union(parts, POSTINGS)
-
-    def buckets(self, terms: list[str]) -> list[int]:
-        row = self.spark.range(1).select(*[bucket_of(t, self.manifest["buckets"]).alias(f"b{i}") for i, t in enumerate(terms)]).first()
-        return sorted(set(row))
+                parts.append(self._live(df.withColumn("bucket", bucket_of(F.col("term"), self.manifest["buckets"])), p["seq"]))
+        out = self._union(parts, POSTINGS + ", bucket int")
+        return out if bucket else out.drop("bucket")
 
     def has_deletes(self) -> bool:
         return any(d["seq"] > s["seq"] for d in self.manifest["deletes"] for s in self.manifest["segments"] + self.manifest["pending"])
 
-    def dictionary(self, pending: bool = True) -> DataFrame:
-        """(term, df, max_tf) of the live documents. Segments' own dictionaries serve unless documents were deleted."""
+    def dictionary(self, pending: bool = True, terms: list[str] | None = None, bucket: bool = False) -> DataFrame:
+        """(term, df, max_tf) of the live documents, or of the given terms alone. Segments' own dictionaries serve unless documents were deleted."""
+        counted = (F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"))
         if self.has_deletes():
-            return self.postings(pending=pending).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"))
-        parts = [self._read(f"{s['name']}/dictionary", "term string, df bigint, max_tf int") for s in self.manifest["segments"]]
-        if pending and self.manifest["pending"]:
-            rest = Index(self.spark, self.path, {**self.manifest, "segments": []}).postings()
-            parts.append(rest.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf")))
-        if len(parts) == 1:
-            return parts[0]
-        return self._union(parts, "term string, df bigint, max_tf int").groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"))
+            out = self.postings(terms, pending, bucket=True).groupBy("bucket", "term").agg(*counted)
+        else:
+            parts = [self._lookup(self._read(f"{s['name']}/dictionary", "term string, df bigint, max_tf int, bucket int"), terms).select("bucket", "term", "df", "max_tf") for s in self.manifest["segments"]]
+            if pending and self.manifest["pending"]:
+                rest = Index(self.spark, self.path, {**self.manifest, "segments": []}).postings(terms, bucket=True)
+                parts.append(rest.groupBy("bucket", "term").agg(*counted))
+            out = self._union(parts, "bucket int, term string, df bigint, max_tf int")
+            if len(parts) > 1:
+                out = out.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"))
+        return out if bucket else out.drop("bucket")
 
     def totals(self, pending: bool = True) -> DataFrame:
         """One row: ndocs, sumdoclen, avgdl. From the manifest, unless there are pending or deleted documents to count."""
@@ -163,30 +181,82 @@ class Index:
         """Writes the analyzed documents of df's rows with an id and a text."""
         rows = df.select(column(df, key).cast("bigint").alias("doc_id"), column(df, text).alias("text")).where("doc_id is not null and text is not null")
         if self.manifest["analyzer"] == "builtin":
-            made = analyze(rows)
+            made = analyze(rows, keep_text=False)
         else:
             from ..functions.english import analyze_config
 
-            made = analyze_config(rows, self.manifest["analyzer"])
+            made = analyze_config(rows, self.manifest["analyzer"], keep_text=False)
         made.select("doc_id", F.col("doc.doclen").alias("doclen"), "doc").write.parquet(f"{self.path}/{folder}")
 
     def insert(self, df: DataFrame, key: str = "doc_id", text: str = "text", name: str | None = None) -> Index:
-        """df's documents as a pending segment, which is searched at once. A name that is there already changes nothing (a repeated batch)."""
-        if name in self.manifest.get("batches", []):
+        """df's documents as a pending segment, which is searched at once; ids that are there already are replaced.
+
+        A name that is there already changes nothing (a repeated batch).
+        """
+        if self._done(name):
             return self
-        folder = f"pending-{uuid.uuid4().hex}"
-        self._analyze(df, key, text, folder)
-        seq = self.manifest["seq"] + 1
-        return self.commit(seq=seq, pending=[*self.manifest["pending"], {"name": folder, "seq": seq}], batches=self.manifest.get("batches", []) + [name] * (name is not None))
+        rows = df.select(column(df, key).cast("bigint").alias("doc_id"), column(df, text).alias("text")).where("doc_id is not null and text is not null")
+        if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():  # ids alone move
+            rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        folder, seq, deletes = f"pending-{uuid.uuid4().hex}", self.manifest["seq"] + 1, []
+        if self.manifest["segments"] or self.manifest["pending"]:
+            old = self.documents().select("doc_id").join(rows.select("doc_id"), "doc_id", "left_semi")
+            if not old.isEmpty():
+                gone = f"deletes-{uuid.uuid4().hex}"
+                old.write.parquet(f"{self.path}/{gone}")
+                deletes = [{"name": gone, "seq": seq}]
+        self._analyze(rows, "doc_id", "text", folder)
+        return self._commit_batch(name, seq=seq, pending=[*self.manifest["pending"], {"name": folder, "seq": seq}], deletes=self.manifest["deletes"] + deletes)
+
+    def _done(self, name: str | None) -> bool:
+        """Whether a batch was committed before: batches of a stream are numbered, and come in order."""
+        if name is None:
+            return False
+        stream, _, number = name.rpartition("-")
+        last = self.manifest.get("batches", {})
+        return int(number) <= last.get(stream, -1) if number.isdigit() else name in last
+
+    def _commit_batch(self, name: str | None, **changes) -> Index:
+        """Commits; of each stream the highest number is kept, of other names the name."""
+        if name is not None:
+            stream, _, number = name.rpartition("-")
+            changes["batches"] = self.manifest.get("batches", {}) | ({stream: int(number)} if number.isdigit() else {name: 0})
+        return self.commit(**changes)
 
     def delete(self, ids: DataFrame, key: str = "doc_id", name: str | None = None) -> Index:
-        """Deletes documents; the same id inserted later is another document. A name that is there already changes nothing."""
-        if name in self.manifest.get("batches", []):
+        """Deletes documents; the same id inserted later is another document. A name that is there already changes nothing.
+
+        Delete tables that hold for the same segments are joined into one, from MOST_DELETES of them on.
+        """
+        if self._done(name):
             return self
-        folder = f"deletes-{uuid.uuid4().hex}"
+        folder, seq = f"deletes-{uuid.uuid4().hex}", self.manifest["seq"] + 1
         ids.select(column(ids, key).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct().write.parquet(f"{self.path}/{folder}")
-        seq = self.manifest["seq"] + 1
-        return self.commit(seq=seq, deletes=[*self.manifest["deletes"], {"name": folder, "seq": seq}], batches=self.manifest.get("batches", []) + [name] * (name is not None))
+        deletes = [*self.manifest["deletes"], {"name": folder, "seq": seq}]
+        made = sorted({x["seq"] for x in self.manifest["segments"] + self.manifest["pending"]})
+        groups: dict[tuple, list[dict]] = {}
+        for d in deletes:  # those that no segment lies between
+            groups.setdefault(tuple(s for s in made if s < d["seq"]), []).append(d)
+        merged = []
+        for own in groups.values():
+            if len(own) >= MOST_DELETES:
+                one = f"deletes-{uuid.uuid4().hex}"
+                self._union([self._read(d["name"], "doc_id bigint") for d in own], "doc_id bigint").distinct().write.parquet(f"{self.path}/{one}")
+                own = [{"name": one, "seq": max(d["seq"] for d in own)}]
+            merged += own
+        return self._commit_batch(name, seq=seq, deletes=sorted(merged, key=lambda d: d["seq"]))
+
+    def tidy(self, share: float = 0.25) -> tuple[Index, bool]:
+        """What a clean-up after deletes does: flushes pending documents, and rewrites the segments of which more than a share is deleted."""
+        index = self.flush()
+        if not index.has_deletes():
+            return index, index is not self
+        chosen = []
+        for s in index.manifest["segments"]:
+            docs = index._read(f"{s['name']}/docs", "doc_id bigint, doclen int")
+            if s["ndocs"] - index._live(docs, s["seq"]).count() > share * s["ndocs"]:
+                chosen.append(s)
+        return (index._rewrite(chosen), True) if chosen else (index, index is not self)
 
     def _segment(self, docs: DataFrame, postings: DataFrame, seq: int) -> dict:
         """Writes a segment: one shuffle of the postings, to their bucket and shard; the dictionary is counted from what was written."""
@@ -196,7 +266,8 @@ class Index:
         shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
         placed.repartition(buckets * shards, "bucket", shard).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/{name}/postings")
         written = self._read(f"{name}/postings", POSTINGS + ", bucket int")
-        written.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/dictionary")
+        counted = written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"))
+        counted.select("term", "df", "max_tf", "bucket").repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{name}/dictionary")
         n, total = self._read(f"{name}/docs", "doc_id bigint, doclen int").agg(F.count(F.lit(1)), F.coalesce(F.sum("doclen"), F.lit(0))).first()
         return {"name": name, "seq": seq, "ndocs": n, "sumdoclen": total}
 
