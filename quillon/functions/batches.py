@@ -103,5 +103,5 @@ def with_documents(df: DataFrame, name: str, cutter: Cutter = cut) -> DataFrame:
                 made = documents(*cutter(texts), texts.is_null().to_numpy(False))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=schema.names)
 
-    made = df.mapInArrow(run, schema)
+    made = df.toDF(*schema.names).mapInArrow(run, schema)
     return made.select(*[made[f"c{i}"].alias(f.name) for i, f in enumerate([*kept, doc])])
