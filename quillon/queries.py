@@ -425,7 +425,7 @@ def _sql(query: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 _add("sql_snippet", _sql("SELECT doc_id, fts_snippet(text, 'the & of | que', '[', ']', '...', 8) AS snippet FROM quillon_documents"), ORACLE["snippet"])
-_add("sql_regex", _sql(r"SELECT doc_id FROM quillon_documents WHERE fts_match(to_ftsdoc(text), r'/\\mtion[[:lower:]]*s\\M/')"), f"WITH {_T} SELECT doc_id FROM t WHERE {any_of(chr(114) + 'egexp_matches(x, ' + chr(39) + '^tion[a-z]*s$' + chr(39) + ')')}")
+_add("sql_regex", _sql(r"SELECT doc_id FROM quillon_documents WHERE fts_match(to_ftsdoc(text), r'/\mtion[[:lower:]]*s\M/')"), f"WITH {_T} SELECT doc_id FROM t WHERE {any_of(chr(114) + 'egexp_matches(x, ' + chr(39) + '^tion[a-z]*s$' + chr(39) + ')')}")
 for _v, _k in (("lucene", "lucene"), ("robertson", "robertson"), ("bm25l", "bm25l")):
     _add(
         f"sql_bm25_opts_{_k}",

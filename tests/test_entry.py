@@ -24,7 +24,7 @@ def plain(value):
     return round(value, 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", ["doc_canonical_text", "match_nested", "match_near3", "count_mixed", "match_doc_phrase3", "bm25_scalar_bm25l", "bm25f_two_field", "search_topk_phrase", "relevance_metrics", "anomalous_docs_five", "highlight", "snippet", "index_vacuum", "facet_counts"])
+@pytest.mark.parametrize("name", ["doc_canonical_text", "match_nested", "match_near3", "count_mixed", "match_doc_phrase3", "bm25_scalar_bm25l", "bm25f_two_field", "search_topk_phrase", "relevance_metrics", "anomalous_docs_five", "highlight", "snippet", "index_vacuum", "facet_counts", "sql_regex", "sql_literal_and_prose", "index_repeated_ids", "query_texts"])
 def test_results_equal_the_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
