@@ -159,21 +159,27 @@ def redact_found(df: DataFrame, found: DataFrame, text: str = "text", rules: tup
     blobs = table(found.select(F.col("blob_id").alias("__blob_id")).distinct().withColumn(has, F.lit(True)), "found")
     marked = df.select("*", blob_id(field(df, text)).alias(of))
     marked = marked.join(blobs, marked[of] == blobs["__blob_id"], "left")
-    out = F.when(marked[has], redacted(field(df, text), rules)).otherwise(field(df, text))
-    return marked.select(*[(out if c == text else field(df, c)).alias(c) for c in df.columns])
-
-
-def redacted(value: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """A text with each secret replaced by [its rule's name]; null stays null."""
-    for r in rules:
-        changed = F.regexp_replace(value, F.lit(r.pattern), F.lit(f"[{r.name}]"))
-        value = changed if r.literal is None else F.when(F.contains(value, F.lit(r.literal)), changed).otherwise(value)
-    return value
+    marked = _replaced(marked.select(*[field(df, c) for c in df.columns], has), text, rules, has)
+    return marked.select(*[field(marked, c).alias(c) for c in df.columns])
 
 
 def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with each secret in the text replaced by [its rule's name]. Null stays null; other columns are kept."""
-    return df.withColumn(text, redacted(field(df, text), rules))
+    return _replaced(df, text, rules)
+
+
+def _replaced(df: DataFrame, text: str, rules: tuple[Rule, ...], where: str | None = None) -> DataFrame:
+    """redact() of the rows where a column is true, of all without one.
+
+    Each rule is a projection of its own: as one expression each rule would hold all those before it three times.
+    """
+    for r in rules:
+        value = field(df, text)
+        out = F.regexp_replace(value, F.lit(r.pattern), F.lit(f"[{r.name}]"))
+        if r.literal is not None:
+            out = F.when(F.contains(value, F.lit(r.literal)), out).otherwise(value)
+        df = df.withColumn(text, out if where is None else F.when(field(df, where), out).otherwise(value))
+    return df
 
 
 def scan_sql(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
