@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Texts are handled in slices of about so many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 21
+#: A slice has so many rows at most, and an entry of a document counts as so many bytes.
+SLICE_ROWS, ENTRY_BYTES = 1 << 14, 16
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -78,15 +80,29 @@ def documents(tokens: pa.Array, counts: np.ndarray, null: np.ndarray) -> pa.Arra
     return pa.StructArray.from_arrays([terms, pa.array(counts.astype(np.int32)), pa.array(np.ones(len(counts), bool))], fields=list(DOC), mask=pa.array(null))
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    row = 0
-    while row < len(texts):
-        to = min(max(int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1, row + 1), len(texts))
+def _sums(values: pa.Array) -> np.ndarray:
+    """Running sums of the bytes that rows hold, of texts, binaries, documents or lists of these."""
+    if pa.types.is_struct(values.type):
+        return values.field("terms").offsets.to_numpy().astype(np.int64) * ENTRY_BYTES
+    if pa.types.is_list(values.type):
+        return _sums(values.values)[values.offsets.to_numpy()]
+    return np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+
+
+def _slices(values: pa.Array) -> Iterator[tuple[int, int]]:
+    sums, row = _sums(values), 0
+    while row < len(values):
+        to = min(max(int(np.searchsorted(sums, sums[row] + SLICE_BYTES, "right")) - 1, row + 1), len(values), row + SLICE_ROWS)
         yield row, to
         row = to
 
 
+def in_slices(of: Callable[..., pa.Array], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """What of makes of slices of the columns, joined: its Python objects are those of one slice. The first column says where to cut."""
+    parts = [of(*[c.slice(a, b - a) for c in columns]) for a, b in _slices(columns[0])]
+    return pa.concat_arrays(parts) if len(parts) != 1 and parts else parts[0] if parts else pa.array([], kind)
+
+
 def with_documents(df: DataFrame, name: str, cutter: Cutter = cut) -> DataFrame:
     """df with its last column, a text, replaced by the document of that text under a name."""
     kept = df.schema.fields[:-1]
