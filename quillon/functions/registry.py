@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.query import _WORD, FUZZY, PREFIX, REGEX, Query, fold
-from . import codec, english, score
+from . import batches, codec, english, score
 from .text import DOC_TYPE
 
 
@@ -76,6 +79,26 @@ def matches(doc: dict, query: Query) -> bool:
     return bool(out and out[0])
 
 
+def unpacked(docs: pa.Array, wanted: set[str] | None = None) -> list[dict | None]:
+    """Documents of Arrow as Python's; with the wanted terms alone, if there is such a set."""
+    lists, doclen, has_pos = docs.flatten()
+    owner = np.repeat(np.arange(len(docs)), pc.fill_null(lists.value_lengths(), 0).to_numpy())
+    entries = lists.flatten()
+    if wanted is not None:
+        there = pc.is_in(entries.field("term"), pa.array(sorted(wanted), pa.string()))
+        entries, owner = entries.filter(there), owner[there.to_numpy(False)]
+    term, tf, pos = entries.flatten()
+    rows = [{"term": t, "tf": f, "pos": p} for t, f, p in zip(term.to_pylist(), tf.to_pylist(), _lists(pos), strict=True)]
+    to = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
+    known = zip(docs.is_valid().to_pylist(), doclen.to_pylist(), has_pos.to_pylist(), strict=True)
+    return [{"terms": rows[to[i] : to[i + 1]], "doclen": n, "has_pos": bool(p)} if there else None for i, (there, n, p) in enumerate(known)]
+
+
+def _lists(values: pa.Array) -> list[list | None]:
+    flat, ends = values.flatten().to_pylist(), np.cumsum(pc.fill_null(values.value_lengths(), 0).to_numpy()).tolist()
+    return [flat[a:b] if there else None for a, b, there in zip([0, *ends], ends, values.is_valid().to_pylist(), strict=False)]
+
+
 def _idf(n: float, dfs, i: int, variant: str = "lucene") -> float:
     df = dfs[i] if dfs is not None and i < len(dfs) and dfs[i] is not None else 1.0
     n = max(n, 1.0)
@@ -130,72 +153,97 @@ def register(spark: SparkSession) -> None:
     """In SQL: to_ftsdoc, to_ftsdoc_config, ftsdoc (the cast of a literal), to_ftsquery, tsquery_to_ftsquery, ftsdoc_length,
     fts_match, fts_bm25, fts_bm25_dfs, fts_bm25_opts, fts_bm25f, fts_distance, fts_highlight, fts_snippet."""
 
-    def docs(frame: pd.DataFrame) -> list[dict | None]:
-        return [None if t is None else {"terms": [dict(x) for x in t], "doclen": n, "has_pos": bool(p)} for t, n, p in zip(frame["terms"], frame["doclen"], frame["has_pos"], strict=True)]
+    def answers(kind: pa.DataType, of: Callable, *columns: pa.Array, wanted: Callable[[Query], set[str] | None] | None = None) -> pa.Array:
+        """of the values of each row, null if one of its first two (the document or text, and the query) is null; documents have the terms wanted by the queries of a slice."""
+
+        def part(*own: pa.Array) -> pa.Array:
+            rows = [c.to_pylist() for c in own[1:]]
+            if wanted is None:
+                first = own[0].to_pylist()
+            else:
+                there = own[0].is_valid().to_pylist()
+                sets = [wanted(_query(q)) for q in dict.fromkeys(q for q, t in zip(rows[0], there, strict=True) if t and q is not None)]
+                first = unpacked(own[0], None if any(x is None for x in sets) else set().union(*sets))
+            return pa.array([None if x[0] is None or x[1] is None else of(*x) for x in zip(first, *rows, strict=True)], kind)
+
+        return batches.in_slices(part, kind, *columns)
+
+    def documents(of: Callable, *columns: pa.Array) -> pa.Array:
+        """The documents that of makes of rows without nulls."""
+        part = lambda *own: pa.array([None if None in x else of(*x) for x in zip(*[c.to_pylist() for c in own], strict=True)], batches.DOC)
+        return batches.in_slices(part, batches.DOC, *columns)
+
+    def texts_of(of: Callable, texts: pa.Array) -> pa.Array:
+        return batches.in_slices(lambda own: pa.array([None if t is None else of(t) for t in own.to_pylist()], pa.string()), pa.string(), texts)
+
+    absent = lambda *values: any(v is None or v != v for v in values)  # noqa: E731  # null or not a number
+    terms = lambda query: {v.term for v in query.values()}
+    unless_patterns = lambda query: None if any(v.flags for v in query.values()) else terms(query)
 
-    def made(rows: list[dict | None]) -> pd.DataFrame:
-        return pd.DataFrame([(r["terms"], r["doclen"], r["has_pos"]) if r else (None, None, None) for r in rows], columns=["terms", "doclen", "has_pos"], dtype=object)
+    @F.arrow_udf(DOC_TYPE)
+    def to_ftsdoc(texts: pa.Array) -> pa.Array:
+        def part(own: pa.Array) -> pa.Array:
+            folded = pa.array([None if t is None else fold(t) for t in own.to_pylist()], pa.string())
+            return batches.documents(*batches.cut(folded), own.is_null().to_numpy(False))
 
-    @F.pandas_udf(DOC_TYPE)
-    def to_ftsdoc(texts: pd.Series) -> pd.DataFrame:
-        return made([codec.analyze(t) if t is not None else None for t in texts])
+        return batches.in_slices(part, batches.DOC, texts)
 
-    @F.pandas_udf(DOC_TYPE)
-    def to_ftsdoc_config(configs: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        return made([english.document(t, c) if t is not None and c is not None else None for c, t in zip(configs, texts, strict=True)])
+    @F.arrow_udf(DOC_TYPE)
+    def to_ftsdoc_config(configs: pa.Array, texts: pa.Array) -> pa.Array:
+        return documents(english.document, texts, configs)
 
-    @F.pandas_udf(DOC_TYPE)
-    def ftsdoc(literals: pd.Series) -> pd.DataFrame:
-        return made([codec.parse(t) if t is not None else None for t in literals])
+    @F.arrow_udf(DOC_TYPE)
+    def ftsdoc(literals: pa.Array) -> pa.Array:
+        return documents(codec.parse, literals)
 
-    @F.pandas_udf("string")
-    def to_ftsquery(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else str(_query(t)) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def to_ftsquery(texts: pa.Array) -> pa.Array:
+        return texts_of(lambda t: str(_query(t)), texts)
 
-    @F.pandas_udf("string")
-    def tsquery_to_ftsquery(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else str(Query.from_tsquery(t)) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def tsquery_to_ftsquery(texts: pa.Array) -> pa.Array:
+        return texts_of(lambda t: str(Query.from_tsquery(t)), texts)
 
-    @F.pandas_udf("int")
-    def ftsdoc_length(frame: pd.DataFrame) -> pd.Series:
-        return frame["doclen"].astype("Int32")
+    @F.arrow_udf("int")
+    def ftsdoc_length(docs: pa.Array) -> pa.Array:
+        return docs.flatten()[1]
 
-    @F.pandas_udf("boolean")
-    def fts_match(frame: pd.DataFrame, queries: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None or q is None else matches(d, _query(q)) for d, q in zip(docs(frame), queries, strict=True)], dtype=object)
+    @F.arrow_udf("boolean")
+    def fts_match(docs: pa.Array, queries: pa.Array) -> pa.Array:
+        return answers(pa.bool_(), lambda d, q: matches(d, _query(q)), docs, queries, wanted=unless_patterns)
 
-    @F.pandas_udf("double")
-    def fts_bm25(frame: pd.DataFrame, queries: pd.Series, n: pd.Series, avgdl: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None or q is None or pd.isna(x) or pd.isna(y) else bm25(d, _query(q), x, y) for d, q, x, y in zip(docs(frame), queries, n, avgdl, strict=True)], dtype=object)
+    @F.arrow_udf("double")
+    def fts_bm25(docs: pa.Array, queries: pa.Array, n: pa.Array, avgdl: pa.Array) -> pa.Array:
+        return answers(pa.float64(), lambda d, q, x, y: None if absent(x, y) else bm25(d, _query(q), x, y), docs, queries, n, avgdl, wanted=terms)
 
-    @F.pandas_udf("double")
-    def fts_bm25_dfs(frame: pd.DataFrame, queries: pd.Series, n: pd.Series, avgdl: pd.Series, dfs: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None or q is None or pd.isna(x) or pd.isna(y) else bm25(d, _query(q), x, y, f) for d, q, x, y, f in zip(docs(frame), queries, n, avgdl, dfs, strict=True)], dtype=object)
+    @F.arrow_udf("double")
+    def fts_bm25_dfs(docs: pa.Array, queries: pa.Array, n: pa.Array, avgdl: pa.Array, dfs: pa.Array) -> pa.Array:
+        return answers(pa.float64(), lambda d, q, x, y, f: None if absent(x, y) else bm25(d, _query(q), x, y, f), docs, queries, n, avgdl, dfs, wanted=terms)
 
-    @F.pandas_udf("double")
-    def fts_bm25_opts(frame: pd.DataFrame, queries: pd.Series, n: pd.Series, avgdl: pd.Series, dfs: pd.Series, k1: pd.Series, b: pd.Series, variant: pd.Series) -> pd.Series:
-        rows = zip(docs(frame), queries, n, avgdl, dfs, k1, b, variant, strict=True)
-        return pd.Series([None if d is None or q is None or v is None or any(pd.isna(z) for z in (x, y, k, c)) else bm25(d, _query(q), x, y, f, k, c, v) for d, q, x, y, f, k, c, v in rows], dtype=object)
+    @F.arrow_udf("double")
+    def fts_bm25_opts(docs: pa.Array, queries: pa.Array, n: pa.Array, avgdl: pa.Array, dfs: pa.Array, k1: pa.Array, b: pa.Array, variant: pa.Array) -> pa.Array:
+        one = lambda d, q, x, y, f, k, c, v: None if v is None or absent(x, y, k, c) else bm25(d, _query(q), x, y, f, k, c, v)
+        return answers(pa.float64(), one, docs, queries, n, avgdl, dfs, k1, b, variant, wanted=terms)
 
-    @F.pandas_udf("double")
-    def fts_bm25f(fields: pd.Series, queries: pd.Series, weights: pd.Series, n: pd.Series, avgdls: pd.Series, dfs: pd.Series) -> pd.Series:
-        rows = zip(fields, queries, weights, n, avgdls, dfs, strict=True)
-        return pd.Series([None if f is None or q is None or w is None or a is None or pd.isna(x) else bm25f(list(f), _query(q), list(w), x, list(a), d) for f, q, w, x, a, d in rows], dtype=object)
+    @F.arrow_udf("double")
+    def fts_bm25f(fields: pa.Array, queries: pa.Array, weights: pa.Array, n: pa.Array, avgdls: pa.Array, dfs: pa.Array) -> pa.Array:
+        one = lambda f, q, w, x, a, d: None if w is None or a is None or absent(x) else bm25f(f, _query(q), w, x, a, d)
+        return answers(pa.float64(), one, fields, queries, weights, n, avgdls, dfs)
 
-    @F.pandas_udf("double")
-    def fts_distance(frame: pd.DataFrame, queries: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None or q is None else 1 / (1 + bm25(d, _query(q), 1.0, d["doclen"])) for d, q in zip(docs(frame), queries, strict=True)], dtype=object)
+    @F.arrow_udf("double")
+    def fts_distance(docs: pa.Array, queries: pa.Array) -> pa.Array:
+        return answers(pa.float64(), lambda d, q: 1 / (1 + bm25(d, _query(q), 1.0, d["doclen"])), docs, queries, wanted=terms)
 
-    @F.pandas_udf("string")
-    def fts_snippet(texts: pd.Series, queries: pd.Series, before: pd.Series, after: pd.Series, ellipsis: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or q is None else snippet(t, _query(q), a, b, e, int(k)) for t, q, a, b, e, k in zip(texts, queries, before, after, ellipsis, size, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def fts_snippet(texts: pa.Array, queries: pa.Array, before: pa.Array, after: pa.Array, ellipsis: pa.Array, size: pa.Array) -> pa.Array:
+        return answers(pa.string(), lambda t, q, a, b, e, k: snippet(t, _query(q), a, b, e, int(k)), texts, queries, before, after, ellipsis, size)
 
     def parts(text: str) -> list[str]:
         return re.findall("[A-Za-z0-9\x80-\U0010ffff]+|[^A-Za-z0-9\x80-\U0010ffff]+", text)
 
-    @F.pandas_udf("string")
-    def fts_highlight(texts: pd.Series, queries: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or q is None else "".join(a + x + b if fold(x) in _query(q).literals() else x for x in parts(t)) for t, q, a, b in zip(texts, queries, before, after, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def fts_highlight(texts: pa.Array, queries: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
+        return answers(pa.string(), lambda t, q, a, b: "".join(a + x + b if fold(x) in _query(q).literals() else x for x in parts(t)), texts, queries, before, after)
 
     for f in (to_ftsdoc, to_ftsdoc_config, ftsdoc, to_ftsquery, tsquery_to_ftsquery, ftsdoc_length, fts_match, fts_bm25, fts_bm25_dfs, fts_bm25_opts, fts_bm25f, fts_distance, fts_highlight, fts_snippet):
         spark.udf.register(f.__name__, f)
