@@ -6,6 +6,7 @@ read the texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -306,6 +307,7 @@ _add(
 # --- the life of an index
 
 _LIFE = "the & of"
+_FILE_BYTES = 1 << 25
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[Index, DataFrame]:
@@ -360,11 +362,12 @@ def _reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as a stream into an index, file by file."""
+    """The documents as a stream into an index: three batches, each of as many files as there are _FILE_BYTES in a third of the documents."""
     files, path = storage.scratch(spark, "files"), storage.scratch(spark, "index")
-    _docs(spark, sf_dir).repartition(3).write.parquet(files)
+    each = math.ceil(storage.size(spark, f"{sf_dir}/documents.parquet") / (3 * _FILE_BYTES))
+    _docs(spark, sf_dir).repartition(3 * each).write.parquet(files)
     Index.create(spark, path)
-    stream = spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 1).parquet(files)
+    stream = spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", each).parquet(files)
     ingest.ingest(stream, path, storage.scratch(spark, "progress"), flush_every=2).awaitTermination()
     return _topk(Index.open(spark, path))
 

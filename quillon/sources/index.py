@@ -4,7 +4,8 @@ A segment has docs (doc_id, doclen), postings (term, doc_id, tf, doclen, positio
 dictionary (term, df, max_tf). Postings and dictionary lie in folders by bucket, a hash of
 the term, and are sorted by term within a file, so that a lookup reads one folder and few
 row groups, and a join on bucket and term reads the folders that it needs;
-several files a bucket (shards by document) keep the postings of a common term in pieces.
+several files a bucket (shards by document) keep the postings of a common term in pieces,
+the more the larger a segment is, so that what a task takes in doesn't grow with it.
 Deleted documents are tables of their own (doc_id, seq): a delete holds for segments
 older than it. Documents just inserted are pending segments: whole already, without
 postings in the buckets, read by their texts' terms.
@@ -19,6 +20,7 @@ and of two that race one fails with Conflict.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -30,6 +32,10 @@ from . import storage
 
 FORMAT = 2
 BUCKETS, SHARDS = 16, 1
+#: A segment has a shard for so many tokens, or bytes of what it is made from, in all its buckets: were all in one bucket, a task would take them.
+SHARD_TOKENS, SHARD_BYTES = 1 << 24, 1 << 27
+#: Shards of postings for each piece of a bucket's dictionary.
+DICTIONARY_SHARDS = 8
 #: Delete tables of the same segments that are joined into one.
 MOST_DELETES = 4
 POSTINGS = "term string, doc_id bigint, tf int, doclen int, positions array<int>"
@@ -69,7 +75,7 @@ class Index:
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, positions: bool = True, buckets: int = BUCKETS, shards: int = SHARDS, analyzer: str = "builtin") -> Index:
-        """An empty index. shards: pieces of each bucket; choose them so that the postings of the commonest term, divided by it, fit a task."""
+        """An empty index. shards: pieces of each bucket at least; larger segments get more."""
         index = cls(spark, path.rstrip("/"), {"format": FORMAT, "version": 0, "seq": 0, "positions": positions, "buckets": buckets, "shards": shards, "analyzer": analyzer, "segments": [], "pending": [], "deletes": []})
         if not storage.write_json(spark, index._manifest(0), index.manifest):
             raise Conflict(f"there is an index in {path}")
@@ -258,17 +264,24 @@ class Index:
                 chosen.append(s)
         return (index._rewrite(chosen), True) if chosen else (index, index is not self)
 
-    def _segment(self, docs: DataFrame, postings: DataFrame, seq: int) -> dict:
-        """Writes a segment: one shuffle of the postings, to their bucket and shard; the dictionary is counted from what was written."""
-        name, buckets, shards = f"segment-{uuid.uuid4().hex}", self.manifest["buckets"], self.manifest["shards"]
-        docs.write.parquet(f"{self.path}/{name}/docs")
-        placed = postings.select("term", "doc_id", "tf", "doclen", "positions", bucket_of(F.col("term"), buckets).alias("bucket"))
-        shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
-        placed.repartition(buckets * shards, "bucket", shard).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/{name}/postings")
-        written = self._read(f"{name}/postings", POSTINGS + ", bucket int")
-        counted = written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"))
-        counted.select("term", "df", "max_tf", "bucket").repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{name}/dictionary")
+    def _shards(self, tokens: int) -> int:
+        """Pieces of each bucket for a segment of all that self has."""
+        size = sum(storage.size(self.spark, f"{self.path}/{x['name']}") for x in self.manifest["segments"] + self.manifest["pending"])
+        return max(self.manifest["shards"], math.ceil(tokens / SHARD_TOKENS), math.ceil(size / SHARD_BYTES))
+
+    def _segment(self, seq: int) -> dict:
+        """Writes a segment of all that self has: one shuffle of the postings, to their bucket and shard; the dictionary is counted from what was written."""
+        name, buckets = f"segment-{uuid.uuid4().hex}", self.manifest["buckets"]
+        self.documents().write.parquet(f"{self.path}/{name}/docs")
         n, total = self._read(f"{name}/docs", "doc_id bigint, doclen int").agg(F.count(F.lit(1)), F.coalesce(F.sum("doclen"), F.lit(0))).first()
+        shards = self._shards(total)
+        pieces = math.ceil(shards / DICTIONARY_SHARDS)
+        bucket, shard, piece = F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.pmod(F.hash("term"), F.lit(pieces))
+        placed = self.postings().select("term", "doc_id", "tf", "doclen", "positions", bucket_of(F.col("term"), buckets).alias("bucket"))
+        placed.repartitionById(buckets * shards, (bucket * shards + shard).cast("int")).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/{name}/postings")
+        written = self._read(f"{name}/postings", POSTINGS + ", bucket int")
+        counted = written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf")).select("term", "df", "max_tf", "bucket")
+        counted.repartitionById(buckets * pieces, (bucket * pieces + piece).cast("int")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{name}/dictionary")
         return {"name": name, "seq": seq, "ndocs": n, "sumdoclen": total}
 
     def flush(self) -> Index:
@@ -277,14 +290,14 @@ class Index:
             return self
         only = Index(self.spark, self.path, {**self.manifest, "segments": []})
         seq = self.manifest["seq"]
-        made = self._segment(only.documents(), only.postings(), seq)
+        made = only._segment(seq)
         return self.commit(pending=[], segments=[*self.manifest["segments"], made] if made["ndocs"] else self.manifest["segments"])
 
     def _rewrite(self, chosen: list[dict]) -> Index:
         """One segment of several, without what was deleted from them."""
         part = Index(self.spark, self.path, {**self.manifest, "segments": chosen, "pending": []})
         # deletes newer than the merged segments are applied, those that newer segments need stay
-        made = self._segment(part.documents(), part.postings(), self.manifest["seq"])
+        made = part._segment(self.manifest["seq"])
         rest = [s for s in self.manifest["segments"] if s not in chosen]
         kept = rest + ([made] if made["ndocs"] else [])
         deletes = [d for d in self.manifest["deletes"] if any(d["seq"] > s["seq"] for s in kept + self.manifest["pending"])]
@@ -324,5 +337,5 @@ class Index:
         folder = f"pending-{uuid.uuid4().hex}"
         self._analyze(df, key, text, folder)
         new = Index(self.spark, self.path, {**self.manifest, "segments": [], "deletes": [], "pending": [{"name": folder, "seq": self.manifest["seq"]}]})
-        made = new._segment(new.documents(), new.postings(), self.manifest["seq"])
+        made = new._segment(self.manifest["seq"])
         return self.commit(segments=[made] if made["ndocs"] else [], pending=[], deletes=[])

@@ -63,6 +63,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files in and under a path."""
+    where, fs = _at(spark, path)
+    return fs.getContentSummary(where).getLength()
+
+
 def read_json(spark: SparkSession, path: str) -> dict:
     where, fs = _at(spark, path)
     stream = fs.open(where)
